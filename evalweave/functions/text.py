@@ -194,6 +194,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
 
 
+def steady_mean(c: Column) -> Column:
+    """Mean in steps of 1e-12 per value, NULL without values.
+
+    A sum of doubles depends on the order of the rows, hence on partitioning and retries,
+    and a last-digit difference decides rounding ties. Decimal sums do not.
+    """
+    return F.try_divide(F.sum(c.cast("decimal(28,12)")).cast("double"), F.count(c))
+
+
 def _utc(ts: Column | None) -> Column:
     """``ts`` as wall-clock UTC, whatever the session time zone is."""
     ts = F.current_timestamp() if ts is None else ts

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.text import ratio, round4
+from evalweave.functions.text import ratio, round4, steady_mean
 from evalweave.operators.ordering import last_wins
 from evalweave.schemas import ALTERATION_TYPES
 
@@ -83,7 +83,7 @@ def run_summary(details: DataFrame) -> DataFrame:
         ),
         round4(
             F.coalesce(
-                F.avg(F.when(conditioned, F.col("n_override") / F.col("n"))), F.lit(0.0)
+                steady_mean(F.when(conditioned, F.col("n_override") / F.col("n"))), F.lit(0.0)
             )
         ).alias("conditioned_override_rate"),
     )
@@ -164,11 +164,11 @@ def board_metrics(per_riddle: DataFrame, summary: DataFrame) -> DataFrame:
     solved = F.col("original_solved")
     agg = per_riddle.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("unique_altered_riddles"),
-        F.avg("accuracy_mean").alias("_accuracy"),
+        steady_mean(F.col("accuracy_mean")).alias("_accuracy"),
         F.avg("sample_count").alias("avg_samples_per_riddle"),
         F.sum("sample_count").alias("_samples"),
         F.count(F.when(solved, 1)).alias("conditioned_unique_altered_riddles"),
-        F.avg(F.when(solved, F.col("override_mean"))).alias("_cor"),
+        steady_mean(F.when(solved, F.col("override_mean"))).alias("_cor"),
         F.sum(F.when(solved, F.col("override_samples"))).alias("_override_samples"),
     )
     seen = F.coalesce("unique_altered_riddles", F.lit(0)) > 0
@@ -229,8 +229,8 @@ def type_run_stats(per_riddle: DataFrame, entries: DataFrame, runs: DataFrame) -
         per_riddle.join(types.select(F.col("id").alias("riddle_id"), "type"), "riddle_id")
         .groupBy("run_id", "type")
         .agg(
-            F.avg(F.when(F.col("original_solved"), F.col("override_mean"))).alias("_cor"),
-            F.avg("accuracy_mean").alias("_acc"),
+            steady_mean(F.when(F.col("original_solved"), F.col("override_mean"))).alias("_cor"),
+            steady_mean(F.col("accuracy_mean")).alias("_acc"),
         )
     )
     # Both sides of the grid are tiny: one row per type and one per run.
@@ -255,7 +255,8 @@ def type_rollup(cells: DataFrame, counts: DataFrame) -> DataFrame:
         cells.where(type_order() > 0)
         .groupBy("type")
         .agg(
-            round4(F.avg("cor")).alias("mean_cor"), round4(F.avg("alt_acc")).alias("mean_alt_acc")
+            round4(steady_mean(F.col("cor"))).alias("mean_cor"),
+            round4(steady_mean(F.col("alt_acc"))).alias("mean_alt_acc"),
         )
         .join(counts, "type")
         .orderBy(type_order())
@@ -274,7 +275,7 @@ def sanity_solver_accuracy(results: DataFrame) -> DataFrame:
 
 def sanity_macro_accuracy(solvers: DataFrame) -> DataFrame:
     """Mean over solvers of the rounded accuracies."""
-    return solvers.agg(round4(F.avg("accuracy")).alias("mean_accuracy"))
+    return solvers.agg(round4(steady_mean(F.col("accuracy"))).alias("mean_accuracy"))
 
 
 def sanity_item_accuracy(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from evalweave.functions.prompts import as_json, render
 from evalweave.functions.text import model_key
 from evalweave.operators import bootstrap, metrics
 from evalweave.operators.coverage import complete_runs
-from evalweave.operators.ordering import last_wins
+from evalweave.operators.ordering import global_rank, last_wins
 from evalweave.operators.quality import checked_run_metadata
 from evalweave.operators.resume import pending_judgments, with_entries, with_judgments
 from evalweave.session import materialise
@@ -46,21 +46,31 @@ class Evaluation:
     summary: DataFrame
     details: DataFrame
 
-    def documents(self) -> DataFrame:
-        """One nested document per run, for export; collects a run's samples into one row."""
-        samples = self.details.groupBy("run_id").agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "ord", "riddle_id", "riddle_type", "sample_index", "model_answer",
-                        "correct", "gave_original_answer", "original_answer",
+    def documents(self, max_samples: int = 100_000) -> DataFrame:
+        """One nested document per run, for export.
+
+        A run with more than ``max_samples`` samples is spread over several documents that
+        repeat its summary, so no row grows with the run.
+        """
+        placed = global_rank(self.details, "ord", by=["run_id"], name="_n", start=0)
+        samples = (
+            placed.withColumn("part", F.floor(F.col("_n") / max_samples))
+            .groupBy("run_id", "part")
+            .agg(
+                F.array_sort(
+                    F.collect_list(
+                        F.struct(
+                            "ord", "riddle_id", "riddle_type", "sample_index", "model_answer",
+                            "correct", "gave_original_answer", "original_answer",
+                        )
                     )
-                )
-            ).alias("_d")
+                ).alias("_d")
+            )
         )
         return self.summary.join(samples, "run_id", "left").select(
-            "run_id", "model", "provider", "quantization", "reasoning_enabled",
-            "reasoning_effort", F.struct(*_SUMMARY).alias("summary"),
+            "run_id", F.coalesce("part", F.lit(0)).alias("part"), "model", "provider",
+            "quantization", "reasoning_enabled", "reasoning_effort",
+            F.struct(*_SUMMARY).alias("summary"),
             F.transform("_d", lambda d: d.dropFields("ord")).alias("details"),
         )
 

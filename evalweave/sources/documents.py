@@ -11,7 +11,7 @@ from evalweave.functions.text import strip
 from evalweave.operators.ordering import zero_based_index
 from evalweave.operators.quality import release_columns
 from evalweave.sources.jsonl import parsed_lines, struct_of, typed_rows
-from evalweave.sources.textlines import numbered_lines, path_exists
+from evalweave.sources.textlines import numbered_lines, path_exists, stem
 
 SMOKE_TEST = "one_entry_test"
 
@@ -37,12 +37,18 @@ def scan_source_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_runs(spark: SparkSession, folder: str, schema: str = schemas.MODEL_OUTPUTS) -> DataFrame:
-    """All runs of a folder: one ``*.jsonl`` file each, named by its stem; smoke tests excluded."""
-    lines = numbered_lines(spark, folder, "*.jsonl").where(~F.col("file").contains(SMOKE_TEST))
-    named = parsed_lines(lines).withColumn(
-        "run_id", F.regexp_replace("file", r"\.jsonl$", "")
+    """All runs of a folder, one ``<run>.jsonl`` each; smoke tests are excluded.
+
+    A run may also be a folder of that name with part files. A single run can be given by
+    its own path.
+    """
+    path = folder if folder.rstrip("/").endswith(".jsonl") else f"{folder.rstrip('/')}/*.jsonl"
+    named = numbered_lines(spark, path).withColumn("run_id", stem("jsonl"))
+    return typed_rows(
+        parsed_lines(named.where(~F.col("run_id").contains(SMOKE_TEST))),
+        schema,
+        keep=("ord", "run_id"),
     )
-    return typed_rows(named, schema, keep=("ord", "run_id"))
 
 
 def scan_run_partitions(
@@ -64,8 +70,8 @@ def scan_solver_answers(spark: SparkSession, folder: str) -> DataFrame:
 
     ``solver_ord`` is the position of the file's first line.
     """
-    lines = numbered_lines(spark, folder, "*.jsonl")
-    named = parsed_lines(lines).withColumn("stem", F.regexp_replace("file", r"\.jsonl$", ""))
+    lines = numbered_lines(spark, f"{folder.rstrip('/')}/*.jsonl")
+    named = parsed_lines(lines).withColumn("stem", stem("jsonl"))
     rows = typed_rows(named, schemas.SANITY_ANSWERS, keep=("ord", "stem"))
     labels = rows.groupBy("stem").agg(
         F.coalesce(F.min_by("solver", "ord"), F.first("stem")).alias("solver"),
@@ -77,33 +83,43 @@ def scan_solver_answers(spark: SparkSession, folder: str) -> DataFrame:
 def scan_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluated runs: ``all_results.json`` if present, else every ``*_eval.json``.
 
-    One row per run with ``run_ord``, the load order.
+    One row per document with ``run_ord``, the load order, and ``run_id``: the document's
+    own one, else the name of its file, else the load order.
     """
     whole = f"{folder.rstrip('/')}/all_results.json"
-    reader = spark.read.schema(struct_of(schemas.EVAL_RESULTS)).option("multiLine", True)
+    fields = struct_of(schemas.EVAL_RESULTS).add("run_id", "string")
+    reader = spark.read.schema(fields).option("multiLine", True)
     if path_exists(spark, whole):
         docs = reader.json(whole)
     else:
-        docs = reader.option("pathGlobFilter", "*_eval.json").json(folder)
+        docs = reader.json(f"{folder.rstrip('/')}/*_eval.json")
     # A document is read by one task, in order; files are ordered by name.
     placed = docs.select(
         "*",
-        F.struct(
-            F.col("_metadata.file_name").alias("a"), F.monotonically_increasing_id().alias("b")
-        ).alias("_place"),
+        F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # One row per document, so one task numbers them; the details stay out of it.
+    order = placed.select("path", "_id").withColumn(
+        "run_ord", F.row_number().over(Window.orderBy("path", "_id")).cast("long")
     )
-    # One row per run, so one task numbers them; the details stay out of it.
-    order = placed.select("_place").withColumn(
-        "run_ord", F.row_number().over(Window.orderBy("_place")).cast("long")
+    name = F.nullif(F.regexp_replace(stem("json"), "_eval$", ""), F.lit("all_results"))
+    return (
+        placed.join(order, ["path", "_id"])
+        .withColumn(
+            "run_id",
+            F.coalesce(
+                "run_id", F.nullif(name, F.lit("")), F.concat(F.lit("run_"), F.col("run_ord").cast("string"))
+            ),
+        )
+        .drop("path", "_id")
     )
-    return placed.join(order, "_place").drop("_place")
 
 
 def evaluation_details(docs: DataFrame) -> DataFrame:
-    """Flat details of evaluated runs; ``run_id`` comes from the load order."""
-    run = F.concat(F.lit("run_"), F.col("run_ord").cast("string"))
+    """Flat details of evaluated runs."""
     return docs.select(
-        run.alias("run_id"), "run_ord", F.posexplode("details").alias("_pos", "_d")
+        "run_id", "run_ord", F.posexplode("details").alias("_pos", "_d")
     ).select(
         "run_id", "run_ord", (F.col("run_ord") * 2**40 + F.col("_pos")).alias("ord"), "_d.*"
     )

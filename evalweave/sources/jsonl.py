@@ -44,19 +44,19 @@ def typed_rows(parsed: DataFrame, schema: str | StructType, keep: tuple = ("ord"
 
 
 def scan_jsonl(
-    spark: SparkSession, path: str | list[str], schema: str | StructType, glob: str | None = None
+    spark: SparkSession, path: str, schema: str | StructType
 ) -> DataFrame:
     """Rows of a JSONL file or folder with ``ord``; malformed lines are skipped.
 
     A missing path raises.
     """
-    return typed_rows(parsed_lines(numbered_lines(spark, path, glob)), schema)
+    return typed_rows(parsed_lines(numbered_lines(spark, path)), schema)
 
 
-def malformed_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, line_no, value) of the lines that ``scan_jsonl`` skips as malformed."""
-    parsed = parsed_lines(numbered_lines(spark, path, glob))
-    return parsed.where(F.col("_json").isNull()).select("file", "line_no", "value")
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, ord, value) of the lines that ``scan_jsonl`` skips as malformed."""
+    parsed = parsed_lines(numbered_lines(spark, path))
+    return parsed.where(F.col("_json").isNull()).select("path", "line_no", "ord", "value")
 
 
 def scan_jsonl_if_exists(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,43 +11,44 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(value, ord, line_no, file): every line of the files, files in name order.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, ord, line_no, path): every line of the files, files in path order.
 
     No sort and no single task is involved. Within a file split the generated row ids rise
     in line order, so a line's number is its id minus the split's first id plus the number
     of lines in earlier splits, known from one aggregate over (file, split). The lines are
     not shuffled for it unless that aggregate is too large to broadcast.
     """
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select(
+    raw = spark.read.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    splits = raw.groupBy("_path", "_start").agg(
+    splits = raw.groupBy("path", "_start").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")
     )
     # One row per split: lines in earlier files, and in earlier splits of the same file.
-    files = splits.groupBy("_path").agg(F.sum("_lines").alias("_file_lines"))
-    before_file = _running(files, [], "_path", "_file_lines", "_before")
-    before_split = _running(splits, ["_path"], "_start", "_lines", "_inside")
-    offsets = before_split.join(before_file.select("_path", "_before"), "_path").select(
-        "_path", "_start", "_first", "_before", "_inside"
+    files = splits.groupBy("path").agg(F.sum("_lines").alias("_file_lines"))
+    before_file = _running(files, [], "path", "_file_lines", "_before")
+    before_split = _running(splits, ["path"], "_start", "_lines", "_inside")
+    offsets = before_split.join(before_file.select("path", "_before"), "path").select(
+        "path", "_start", "_first", "_before", "_inside"
     )
     line = F.col("_inside") + F.col("_id") - F.col("_first")
-    return raw.join(offsets, ["_path", "_start"]).select(
+    return raw.join(offsets, ["path", "_start"]).select(
         "value",
         (F.col("_before") + line).alias("ord"),
         (line + 1).alias("line_no"),
-        "file",
+        "path",
     )
 
 
+def stem(extension: str) -> Column:
+    """Name of the file, or of the folder that holds the parts, without the extension."""
+    return F.regexp_extract("path", rf"([^/=]+)\.{extension}(?:/[^/]*)?$", 1)
+
+
 def _running(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     window = (
         Window.partitionBy(*(by or [F.lit(0)]))
