@@ -539,13 +539,13 @@ LEADERBOARD = (
     + PAIRS
     + ","
     + SIGNS
-    + """,
+    + f""",
 seen AS (SELECT run_b AS run_id, sign FROM signs UNION ALL SELECT run_a, -sign FROM signs),
 spread AS (SELECT run_id, 1 + count(*) FILTER (sign > 0) AS rank_best, 1 + count(*) FILTER (sign >= 0) AS rank_worst
            FROM seen GROUP BY run_id)
 SELECT row_number() OVER (ORDER BY cor, altered_accuracy DESC, run_ord) AS rank, run_id, rank_best, rank_worst,
        round(cor, 6) AS conditioned_override_rate, round(altered_accuracy, 6) AS altered_accuracy,
-       round((o.hi - o.lo) / 2, 3) AS conditioned_override_ci95, round((a.hi - a.lo) / 2, 3) AS altered_accuracy_ci95,
+       {r4('(o.hi - o.lo) / 2')} AS conditioned_override_ci95, {r4('(a.hi - a.lo) / 2')} AS altered_accuracy_ci95,
        CAST(override_samples AS BIGINT) AS conditioned_override_total, n_items AS unique_altered_riddles,
        n_solved AS conditioned_unique_altered_riddles
 FROM board JOIN tokens USING (run_id) JOIN spread USING (run_id)
@@ -558,8 +558,8 @@ def x14_leaderboard(fx: Fixtures):
     board = evaluation.leaderboard(evaluation_of(fx), fx.entries)
     return board.select(
         "rank", "run_id", "rank_best", "rank_worst", rounded("conditioned_override_rate"),
-        rounded("altered_accuracy"), rounded("conditioned_override_ci95", digits=3),
-        rounded("altered_accuracy_ci95", digits=3), "conditioned_override_total",
+        rounded("altered_accuracy"), "conditioned_override_ci95",
+        "altered_accuracy_ci95", "conditioned_override_total",
         "unique_altered_riddles", "conditioned_unique_altered_riddles",
     )
 

@@ -481,7 +481,7 @@ def d19_clustered_ci(fx: Fixtures):
     with_views("details", "entries") + f""",{ITEM},
 scores AS (SELECT run_id AS gkey, riddle_id AS cluster, accuracy_mean AS score FROM per_riddle WHERE type = 'bias_probe'),
 {bootstrap_sql('scores', 'gkey')}
-SELECT gkey AS run_id, round((hi - lo) / 2, 3) AS ci95 FROM bounds""",
+SELECT gkey AS run_id, {r4('(hi - lo) / 2')} AS ci95 FROM bounds""",
 )
 def d20_plain_ci(fx: Fixtures):
     typed = fx.entries.where("type = 'bias_probe'").select(F.col("id").alias("riddle_id"))
@@ -489,7 +489,7 @@ def d20_plain_ci(fx: Fixtures):
         "run_id", "riddle_id", F.col("accuracy_mean").alias("score")
     )
     ci = bootstrap.plain_ci95(scores, ["run_id"], "riddle_id")
-    return ci.select("run_id", rounded("ci95", digits=3))
+    return ci.select("run_id", "ci95")
 
 
 @check(
