@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("metric_checks", "source_checks", "curation_checks", "evaluation_checks")
+_MODULES = (
+    "metric_checks",
+    "source_checks",
+    "curation_checks",
+    "evaluation_checks",
+    "scalar_checks",
+)
 
 
 def _load() -> None:
