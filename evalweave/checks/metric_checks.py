@@ -80,7 +80,7 @@ item AS (
   FROM fx_details GROUP BY ALL)
 SELECT run_id, count(*) FILTER (n > 0 AND solved > 0) AS conditioned_override_total,
        CAST(coalesce(sum(k) FILTER (n > 0 AND solved > 0), 0) AS BIGINT) AS conditioned_override_count,
-       {r4('coalesce(' + mean('k / n', 'n > 0 AND solved > 0') + ', 0.0)')} AS conditioned_override_rate
+       {r4('coalesce(' + mean('k / nullif(n, 0)', 'n > 0 AND solved > 0') + ', 0.0)')} AS conditioned_override_rate
 FROM item GROUP BY run_id""",
 )
 def d2_conditioned_override(fx: Fixtures):
