@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ REQUIRED_ITEM_FIELDS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A Python-level reuse of a column repeats its whole expression; with JSON parsing inside
+    that makes generated code too large to compile.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_fences(c: Column | str) -> Column:
     """Text without an enclosing Markdown code fence."""
     opened = F.regexp_replace(strip(c), r"(?U)^```(?:json)?\s*", "")
@@ -34,14 +45,16 @@ def strict_json(c: Column | str) -> Column:
     ``try_parse_json`` alone ignores what follows the first value. Closing the text in an
     array with a marker as last element shows whether the value is the whole text.
     """
-    c = _col(c)
     wrapped = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]'))), "$", "array<variant>"
+        F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit(f',"{_END}"]'))), "$", "array<variant>"
     )
-    return F.when(
-        (F.size(wrapped) == 2)
-        & (F.to_json(F.try_element_at(wrapped, F.lit(2))) == F.lit(f'"{_END}"')),
-        F.try_element_at(wrapped, F.lit(1)),
+    return let(
+        wrapped,
+        lambda w: F.when(
+            (F.size(w) == 2)
+            & (F.to_json(F.try_element_at(w, F.lit(2))) == F.lit(f'"{_END}"')),
+            F.try_element_at(w, F.lit(1)),
+        ),
     )
 
 
@@ -53,37 +66,58 @@ def json_object(c: Column | str) -> Column:
 
 def json_array(c: Column | str) -> Column:
     """ARRAY<VARIANT> of a JSON list; for an object, its first member that is a list."""
-    c = strip(c)
-    value = strict_json(c)
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    first_list = F.filter(
-        F.json_object_keys(c),
-        lambda k: F.to_json(F.try_element_at(members, k)).startswith("["),
-    )
-    member = F.try_element_at(members, F.try_element_at(first_list, F.lit(1)))
-    return F.when(
-        c.startswith("["), F.try_variant_get(value, "$", "array<variant>")
-    ).when(c.startswith("{"), F.try_variant_get(member, "$", "array<variant>"))
+    def first_list(text: Column, value: Column) -> Column:
+        return let(
+            F.try_variant_get(value, "$", "map<string,variant>"),
+            lambda members: F.try_element_at(
+                members,
+                F.try_element_at(
+                    F.filter(
+                        F.json_object_keys(text),
+                        lambda k: F.to_json(F.try_element_at(members, k)).startswith("["),
+                    ),
+                    F.lit(1),
+                ),
+            ),
+        )
+
+    def read(text: Column) -> Column:
+        return let(
+            strict_json(text),
+            lambda value: F.try_variant_get(
+                F.when(text.startswith("["), value).when(
+                    text.startswith("{"), first_list(text, value)
+                ),
+                "$",
+                "array<variant>",
+            ),
+        )
+
+    return let(strip(c), read)
 
 
 def member_text(obj: Column, name: str, default: str | None = None) -> Column:
     """A member as text; a scalar is written as Python's ``str`` writes it."""
-    member = F.try_variant_get(obj, f"$.{name}", "variant")
-    raw = F.to_json(member)
-    text = (
-        F.when(raw == "true", F.lit("True"))
-        .when(raw == "false", F.lit("False"))
-        .when(raw == "null", F.lit("None"))
-        .otherwise(F.try_variant_get(obj, f"$.{name}", "string"))
-    )
-    return F.when(member.isNull(), F.lit(default)).otherwise(text)
+    def shown(raw: Column) -> Column:
+        return (
+            F.when(raw.isNull(), F.lit(default))
+            .when(raw == "true", F.lit("True"))
+            .when(raw == "false", F.lit("False"))
+            .when(raw == "null", F.lit("None"))
+            .otherwise(F.try_variant_get(obj, f"$.{name}", "string"))
+        )
+
+    return let(F.to_json(F.try_variant_get(obj, f"$.{name}", "variant")), shown)
 
 
 def json_truthy(raw: Column) -> Column:
     """Truth of a JSON text: false for an absent value, null, false, zero and anything empty."""
-    empty = raw.isin("null", "false", '""', "[]", "{}")
-    zero = F.coalesce(raw.try_cast("double") == 0, F.lit(False))
-    return F.coalesce(~empty & ~zero, F.lit(False))
+    def truth(r: Column) -> Column:
+        empty = r.isin("null", "false", '""', "[]", "{}")
+        zero = F.coalesce(r.try_cast("double") == 0, F.lit(False))
+        return F.coalesce(~empty & ~zero, F.lit(False))
+
+    return let(raw, truth)
 
 
 def member_true(obj: Column, name: str) -> Column:
@@ -101,19 +135,17 @@ def parsed_answer(raw: Column | str, keep: int = 500) -> Column:
     A reply that is not a JSON object is the answer itself, cut to ``keep`` characters as
     the data model asks.
     """
-    obj = json_object(strip_fences(raw))
-    return F.when(
-        obj.isNotNull(),
-        F.struct(
-            strip(member_text(obj, "answer", "")).alias("answer"),
-            strip(member_text(obj, "reasoning", "")).alias("reasoning"),
-        ),
-    ).otherwise(
-        F.struct(
-            F.left(strip(raw), F.lit(keep)).alias("answer"),
-            F.lit("").alias("reasoning"),
+    def read(obj: Column) -> Column:
+        return F.struct(
+            F.when(obj.isNotNull(), strip(member_text(obj, "answer", "")))
+            .otherwise(F.left(strip(raw), F.lit(keep)))
+            .alias("answer"),
+            F.when(obj.isNotNull(), strip(member_text(obj, "reasoning", "")))
+            .otherwise(F.lit(""))
+            .alias("reasoning"),
         )
-    )
+
+    return let(json_object(strip_fences(raw)), read)
 
 
 def parsed_sanity_answer(raw: Column | str) -> Column:
@@ -122,17 +154,21 @@ def parsed_sanity_answer(raw: Column | str) -> Column:
 
 def parsed_judgment(raw: Column | str) -> Column:
     """Struct (correct, gave_original, competing); all false when unreadable."""
-    obj = json_object(strip_fences(raw))
-    return F.struct(
-        member_true(obj, "correct").alias("correct"),
-        member_true(obj, "gave_original").alias("gave_original"),
-        member_true(obj, "competing").alias("competing"),
+    return let(
+        json_object(strip_fences(raw)),
+        lambda obj: F.struct(
+            member_true(obj, "correct").alias("correct"),
+            member_true(obj, "gave_original").alias("gave_original"),
+            member_true(obj, "competing").alias("competing"),
+        ),
     )
 
 
 def parsed_sanity_judgment(raw: Column | str) -> Column:
-    obj = json_object(strip_fences(raw))
-    return F.struct(member_true(obj, "correct").alias("correct"))
+    return let(
+        json_object(strip_fences(raw)),
+        lambda obj: F.struct(member_true(obj, "correct").alias("correct")),
+    )
 
 
 def has_required_fields(item: Column) -> Column:

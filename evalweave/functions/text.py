@@ -58,7 +58,7 @@ def pair_key(first: Column | str, second: Column | str) -> Column:
 def comparison_text(c: Column | str) -> Column:
     """Lower-case text without ASCII punctuation and with single blanks, for similarity."""
     bare = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), ASCII_PUNCTUATION, "")
-    return strip(F.regexp_replace(bare, rf"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(bare, rf"(?U){_SPACE}+", " "))
 
 
 def safe_name(c: Column | str) -> Column:

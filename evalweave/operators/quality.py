@@ -184,8 +184,8 @@ def output_record(
     """
     failed = F.col("error").isNotNull()
     body = F.coalesce("raw_response", F.lit(""))
-    parsed = parsed_answer(body)
-    return responses.select(
+    parsed = F.col("_parsed")
+    return responses.withColumn("_parsed", parsed_answer(body)).select(
         *extra,
         "riddle_id",
         "riddle_type",
