@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from evalweave.checks.fixtures import Fixtures, with_views
@@ -668,29 +668,19 @@ def h3_similarity_ratio(fx: Fixtures):
     return pairs.select("conv_id", "turn", F.round(similarity_ratio("a", "b"), 6).alias("ratio"))
 
 
-COMPONENT_EDGES = """
-edges AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000000 AS v FROM lineitem WHERE l_quantity = 1 AND l_tax < 0.02)"""
-
-
 @check(
     "d24_connected_components",
-    "WITH RECURSIVE " + COMPONENT_EDGES.strip() + """,
-both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
-walk(node, reached) USING KEY (node) AS (
-  SELECT u, min(least(u, v)) FROM both_ways GROUP BY u
-  UNION
-  SELECT b.u, min(w.reached) FROM walk w JOIN both_ways b ON b.v = w.node JOIN recurring.walk k ON k.node = b.u
-  WHERE w.reached < k.reached GROUP BY b.u)
-SELECT node, reached AS component FROM walk""",
+    """SELECT node, component FROM (
+         SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component,
+                count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) q WHERE n > 1""",
 )
 def d24_connected_components(fx: Fixtures):
-    edges = (
-        fx.table("lineitem")
-        .where("l_quantity = 1 AND l_tax < 0.02")
-        .select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000000).alias("v"))
-        .distinct()
+    """Orders chained to the customer's next order by total price: one component per customer."""
+    following = F.lead("o_orderkey").over(
+        Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     )
-    return connected_components(edges)
+    edges = fx.table("orders").select(F.col("o_orderkey").alias("u"), following.alias("v"))
+    return connected_components(edges.where("v IS NOT NULL"))
 
 
 # ── selection ─────────────────────────────────────────────────────────

@@ -479,13 +479,12 @@ def d19_clustered_ci(fx: Fixtures):
 @check(
     "d20_plain_ci",
     with_views("details", "entries") + f""",{ITEM},
-scores AS (SELECT run_id AS gkey, riddle_id AS cluster, accuracy_mean AS score FROM per_riddle WHERE type = 'bias_probe'),
+scores AS (SELECT run_id AS gkey, riddle_id AS cluster, accuracy_mean AS score  FROM per_riddle),
 {bootstrap_sql('scores', 'gkey')}
 SELECT gkey AS run_id, {r4('(hi - lo) / 2')} AS ci95 FROM bounds""",
 )
 def d20_plain_ci(fx: Fixtures):
-    typed = fx.entries.where("type = 'bias_probe'").select(F.col("id").alias("riddle_id"))
-    scores = _per_riddle(fx).join(typed, "riddle_id").select(
+    scores = _per_riddle(fx).select(
         "run_id", "riddle_id", F.col("accuracy_mean").alias("score")
     )
     ci = bootstrap.plain_ci95(scores, ["run_id"], "riddle_id")
