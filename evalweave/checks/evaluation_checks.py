@@ -264,7 +264,7 @@ FROM parsed"""
 
 
 def _records(fx: Fixtures) -> DataFrame:
-    stamp = F.to_timestamp(F.lit("2024-03-01 12:30:00"))
+    stamp = F.from_utc_timestamp(F.lit("2024-03-01 12:30:00"), F.current_timezone())
     answer = F.col("model_answer")
     return runs.ingest_outputs(_replies(fx), stamp).select(
         "riddle_id",

@@ -133,7 +133,8 @@ def h22_previews(fx: Fixtures):
               strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS report FROM events""",
 )
 def h23_utc_timestamps(fx: Fixtures):
-    ts = F.col("ts").cast("timestamp")
+    # The stored times have no zone; they are taken as UTC whatever the session's zone is.
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     return fx.table("events").select(
         "event_id", txt.record_time(ts).alias("record"), txt.snapshot_time(ts).alias("snap"),
         txt.report_time(ts).alias("report"),

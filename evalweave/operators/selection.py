@@ -195,12 +195,17 @@ def _settle(stop_at_gap: bool):
     return play
 
 
-def _contested_decisions(candidates: DataFrame, kernel_rows: int) -> DataFrame | None:
+def _contested_decisions(
+    candidates: DataFrame, kernel_rows: int, limit: int | None
+) -> DataFrame | None:
     """(ord, taken) of contested candidates, settled block by block in play order.
 
     A block takes from every family its next rows, so that it holds at most ``kernel_rows``.
-    Rooms shrink and bases grow by what earlier blocks took.
+    Rooms shrink and bases grow by what earlier blocks took. A row with ``limit`` surely
+    taken rows before it in its own family cannot be among the first ``limit`` picks, and
+    nor can any row behind it, so play ends once only such rows are left.
     """
+    in_reach = F.lit(True) if limit is None else F.col("base") < limit
     ranked = global_rank(
         candidates.where("contested"), "ord", by=["family_ord"], name="pos"
     )
@@ -218,14 +223,13 @@ def _contested_decisions(candidates: DataFrame, kernel_rows: int) -> DataFrame |
             "room",
             "pos",
             (F.col("any_pos") - F.col("pos")).alias("base"),
-        ),
+        ).where(in_reach),
         "contested",
     )
-    families = open_rows.agg(F.count_distinct("family_ord")).first()[0]
+    families = open_rows.select("family_ord").distinct().count()
     share = max(1, kernel_rows // max(families, 1))
     decisions: DataFrame | None = None
     while not open_rows.isEmpty():
-        span = Window.partitionBy("family_ord")
         start = open_rows.groupBy("family_ord").agg(
             F.min("pos").alias("_from"), F.max("pos").alias("_to")
         )
@@ -255,7 +259,7 @@ def _contested_decisions(candidates: DataFrame, kernel_rows: int) -> DataFrame |
                 (F.col("room") - F.coalesce("_used", F.lit(0))).alias("room"),
                 "pos",
                 (F.col("base") + F.coalesce("_won", F.lit(0))).alias("base"),
-            ),
+            ).where(in_reach),
             "contested",
         )
     return decisions
@@ -266,16 +270,18 @@ def balanced_order(
     cap: int | None = None,
     existing: DataFrame | None = None,
     kernel_rows: int = KERNEL_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """(ord, pick): every item that the rounds take, numbered in the order they take it.
 
-    Writes intermediate tables to the scratch folder when a cap leads to contested items.
+    With ``limit``, only the first ``limit`` picks are sure to be right, and later turns of
+    contested items are not played. Writes intermediate tables to the scratch folder when a cap leads to contested items.
     """
     candidates = _candidates(pool, existing, cap)
     taken = candidates
     if cap:
         candidates = materialise(candidates, "candidates")
-        decisions = _contested_decisions(candidates, kernel_rows)
+        decisions = _contested_decisions(candidates, kernel_rows, limit)
         taken = candidates
         if decisions is not None:
             taken = candidates.join(decisions, "ord", "left").where("NOT contested OR taken")
@@ -300,12 +306,10 @@ def balanced_pick(
     ``count`` is a number or a one-row DataFrame with the column ``count``. ``used_set`` is
     the item's own set where it has one, else ``benchmark``.
     """
-    order = balanced_order(pool, cap, existing, kernel_rows)
     if isinstance(count, DataFrame):
-        chosen = with_constants(order, count).where(F.col("pick") <= F.col("count")).drop("count")
-    else:
-        chosen = order.where(F.col("pick") <= count)
-    chosen = materialise(chosen, "picks")
+        count = count.first()["count"]
+    order = balanced_order(pool, cap, existing, kernel_rows, limit=count)
+    chosen = materialise(order.where(F.col("pick") <= count), "picks")
     selected = pool.join(chosen, "ord")
     own = F.nullif("set", F.lit("")) if "set" in pool.columns else F.lit(None).cast("string")
     known = F.col("used_set") if "used_set" in pool.columns else F.lit(None).cast("string")

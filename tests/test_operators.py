@@ -102,6 +102,12 @@ def test_balanced_pick(spark, seed, kernel_rows):
         got = [r["ord"] for r in order]
         assert got == play(pool, n, cap, existing)
         assert [r["pick"] for r in order] == list(range(1, len(got) + 1))
+    for count in (1, 7):
+        chosen, after = selection.balanced_pick(df, count, 2, known, kernel_rows)
+        wanted = play(pool, count, 2, existing)
+        assert [r["ord"] for r in chosen.orderBy("pick").collect()] == wanted
+        marked = {r["ord"] for r in after.where("used_in_set").collect()}
+        assert marked == set(wanted) and after.count() == n
 
 
 def test_split_sets_are_disjoint_and_capped(spark):
