@@ -29,6 +29,9 @@ MODEL_FAMILIES = (
 
 UNKNOWN_FAMILY = "__unknown__"
 
+# Fixed value: marks the outputs of smoke tests.
+SMOKE_TEST = "one_entry_test"
+
 # Fixed value: the effort named in run names when reasoning is on without an effort.
 DEFAULT_EFFORT = "high"
 
@@ -140,7 +143,7 @@ def run_name(
                 F.coalesce(F.nullif(_col(effort), F.lit("")), F.lit(DEFAULT_EFFORT)),
             ),
         ).otherwise(""),
-        F.lit("_one_entry_test" if smoke_test else ""),
+        F.lit("_" + SMOKE_TEST if smoke_test else ""),
     )
 
 

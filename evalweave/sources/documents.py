@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evalweave import schemas
-from evalweave.functions.text import strip
+from evalweave.functions.text import SMOKE_TEST, strip
 from evalweave.operators.ordering import zero_based_index
 from evalweave.operators.quality import release_columns
 from evalweave.sources.jsonl import parsed_lines, struct_of, typed_rows
 from evalweave.sources.textlines import numbered_lines, path_exists, stem
 
-SMOKE_TEST = "one_entry_test"
 
 
 def scan_source_list(spark: SparkSession, path: str) -> DataFrame:
