@@ -108,3 +108,63 @@ def spans_of(texts: list[bytes], most: int = 1 << 20, overlap: int = 8) -> Itera
 def padded(raw: bytes) -> bytes:
     """Lower-case letters and digits, one blank between words and at both ends."""
     return b" " + b" ".join(raw.translate(LETTERS).split()) + b" "
+
+
+def bag_sums(
+    texts: list[bytes], orders: tuple[int, ...], bits: int, table: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the sum of ``table`` rows of its hashed n-grams, and their number."""
+    sums = np.zeros((len(texts), table.shape[1]))
+    counts = np.zeros(len(texts))
+    for buf, starts, owners, cut in spans_of(texts):
+        data = np.frombuffer(buf, np.uint8)
+        for order in orders:
+            key, at = ngram_keys(data, order, bits)
+            size = np.searchsorted(at, cut)
+            key, at = key[:size], at[:size]
+            first = np.searchsorted(at, starts)
+            held = np.diff(np.append(first, size))
+            some = held > 0
+            if some.any():
+                sums[owners[some]] += np.add.reduceat(table[key], first[some], axis=0)
+                counts[owners] += held
+    return sums, counts
+
+
+def bag_of(text: bytes, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed n-grams of one text and the share of each."""
+    counts = np.zeros(1 << bits, np.int64)
+    for buf, _, _, cut in spans_of([text]):
+        data = np.frombuffer(buf, np.uint8)
+        for order in orders:
+            key, at = ngram_keys(data, order, bits)
+            counts += np.bincount(key[at < cut], minlength=1 << bits)
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), (counts[found] / max(1, counts.sum())).astype(np.float32)
+
+
+def class_shares(
+    rows: DataFrame, label: str, per_label: int, most_bytes: int, text: str = "text"
+) -> dict:
+    """label -> the share of its rows that keeps a sample within both bounds.
+
+    One row per class comes to the driver.
+    """
+    sizes = (
+        rows.groupBy(label)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(raw_text(text))).alias("b"))
+        .collect()
+    )
+    return {
+        r[label]: min(1.0, per_label / r["n"], most_bytes / max(1, r["b"]))
+        for r in sorted(sizes, key=lambda r: str(r[label]))
+    }
+
+
+def class_sample(rows: DataFrame, label: str, shares: dict, key: str = "doc_id") -> DataFrame:
+    """About the given share of each class, chosen by a hash of key and text."""
+    if not shares:
+        return rows.where(F.lit(False))
+    pairs = [F.lit(x) for pair in shares.items() for x in pair]
+    share = F.element_at(F.create_map(*pairs), F.col(label))
+    return rows.where(hashed_share(F.struct(F.col(key), F.col("text")), share))
