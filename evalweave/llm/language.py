@@ -185,12 +185,11 @@ def _calibrated(model: LanguageModel, held: DataFrame) -> LanguageModel:
 
 def predict_language(docs: DataFrame, model: LanguageModel, ambiguity: float = 0.15) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for every document, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raw in batches:
-            yield shared.value.predict([padded(x) for x in raw], ambiguity)
+            yield model.predict([padded(x) for x in raw], ambiguity)
 
     named = docs.select("doc_id", _has_letter("text").alias("_l"), predict(raw_text()).alias("_p"))
     return named.select(

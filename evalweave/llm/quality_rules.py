@@ -74,16 +74,16 @@ def rule_counts(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-@F.pandas_udf(_COUNTS)
-def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def text_counts(text: str | Column = "text") -> Column:
+    """A struct of the counts that the rules use."""
     names = [x.split()[0] for x in _COUNTS.split(", ")]
-    for texts in batches:
-        yield pd.DataFrame([rule_counts(t) for t in texts], columns=names).astype("int64")
 
+    @F.pandas_udf(_COUNTS)
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([rule_counts(t) for t in texts], columns=names).astype("int64")
 
-def text_counts(text: str | Column = "text") -> Column:
-    """A struct of the counts that the rules use."""
-    return _counts(raw_text(text))
+    return counts(raw_text(text))
 
 
 def base_failed() -> Column:

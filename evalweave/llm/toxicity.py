@@ -114,12 +114,11 @@ def fit_toxicity(
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted for every document, from its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for raw in batches:
-            yield pd.Series(shared.value.score([padded(x) for x in raw]))
+            yield pd.Series(model.score([padded(x) for x in raw]))
 
     scored = docs.select("doc_id", score(raw_text()).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
