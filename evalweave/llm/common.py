@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.session import materialise
+from evalweave.session import scratch_path
 
 #: ASCII white space, which parts words in every contract; ``bytes.split()`` parts there too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,7 +50,10 @@ def numbered_rows(docs: DataFrame, name: str, label: str) -> DataFrame:
     The copy is written first, so the numbers stay the same whatever is computed again
     later; repeated rows get different numbers.
     """
-    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), label)
+    path = scratch_path(docs.sparkSession, label)
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def hashed_share(key: Column, share: Column) -> Column:

@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm import language, quality_model, quality_rules, toxicity
+from evalweave.llm import (
+    language,
+    licenses,
+    line_dedup,
+    quality_model,
+    quality_rules,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +58,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-label posterior and scorer of every document."""
     return quality_model.classify_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan", licenses.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_line_dedup", line_dedup.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated three-line passages."""
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
