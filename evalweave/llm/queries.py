@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import (
+    decontaminate,
     language,
     licenses,
     line_dedup,
+    mixing,
     quality_model,
     quality_rules,
     toxicity,
@@ -70,3 +72,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated three-line passages."""
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_source_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) whose question and answer the document holds."""
+    return decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
