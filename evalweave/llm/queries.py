@@ -12,9 +12,11 @@ from evalweave.llm import (
     language,
     licenses,
     line_dedup,
+    lm_score,
     mixing,
     quality_model,
     quality_rules,
+    simhash,
     toxicity,
 )
 
@@ -86,3 +88,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_lm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
