@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.session import scratch_path
+from evalweave.session import materialise, scratch_path
 
 #: ASCII white space, which parts words in every contract; ``bytes.split()`` parts there too.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -171,3 +172,36 @@ def class_sample(rows: DataFrame, label: str, shares: dict, key: str = "doc_id")
     pairs = [F.lit(x) for pair in shares.items() for x in pair]
     share = F.element_at(F.create_map(*pairs), F.col(label))
     return rows.where(hashed_share(F.struct(F.col(key), F.col("text")), share))
+
+
+def light_rows(docs: DataFrame, *extra: Column) -> DataFrame:
+    """(doc_id, h, bytes, ...): a row per document without its text; h tells texts apart."""
+    return docs.select("doc_id", _row_hash().alias("h"), F.octet_length(raw_text()).alias("bytes"), *extra)
+
+
+def _row_hash() -> Column:
+    return F.xxhash64(F.lit("row"), "doc_id", "text")
+
+
+def sampled_texts(
+    docs: DataFrame, light: DataFrame, label: str, per_label: int, most_bytes: int
+) -> tuple[pd.DataFrame, dict]:
+    """(h, raw, label, ...) of about ``per_label`` documents per class, and the shares taken.
+
+    The sample is chosen among the light rows, so no text is shuffled; the chosen
+    hashes, at most a few thousand, are broadcast to one scan. Equal rows count once.
+    """
+    sizes = light.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()
+    shares = {
+        r[label]: min(1.0, per_label / r["n"], most_bytes / max(1, r["b"]))
+        for r in sorted(sizes, key=lambda r: str(r[label]))
+    }
+    if not shares:
+        return pd.DataFrame({"h": [], "raw": [], label: []}), shares
+    pairs = [F.lit(x) for pair in shares.items() for x in pair]
+    share = F.element_at(F.create_map(*pairs), F.col(label))
+    chosen = light.where(hashed_share(F.col("h"), share)).drop("doc_id", "bytes").dropDuplicates(["h"])
+    chosen = materialise(chosen, "sample")
+    texts = docs.select(_row_hash().alias("h"), raw_text().alias("raw"))
+    held = texts.join(F.broadcast(chosen), "h").toPandas().drop_duplicates("h")
+    return held.sort_values("h", kind="stable").reset_index(drop=True), shares

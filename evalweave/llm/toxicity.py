@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from evalweave.llm.common import (
     bag_of,
     bag_sums,
-    class_sample,
-    class_shares,
     fold_of,
+    light_rows,
     padded,
     raw_text,
+    sampled_texts,
 )
+from evalweave.session import materialise
 
 ORDERS = (3, 4, 5)
 BITS = 16
@@ -99,15 +100,19 @@ def train(
 
 
 def fit_toxicity(
-    labelled: DataFrame, label: str = "toxic", per_label: int = 2000, most_bytes: int = 12 << 20
+    docs: DataFrame,
+    labels: DataFrame,
+    per_label: int = 2000,
+    most_bytes: int = 12 << 20,
 ) -> ToxicityModel:
-    """Learn from ``doc_id``, ``text`` and the label column (1, else 0)."""
-    rows = labelled.where(F.col(label).isNotNull()).select(
-        "doc_id", "text", (F.col(label) == 1).cast("int").alias("y")
-    )
-    shares = class_shares(rows, "y", per_label, most_bytes)
-    sample = class_sample(rows, "y", shares).select(raw_text().alias("raw"), "y").toPandas()
-    sample = sample.sort_values(["raw", "y"], kind="stable")
+    """Learn from the documents (doc_id, text) that ``labels`` (doc_id, toxic) covers.
+
+    Only ids, sizes and labels are joined. Several labels of one id count as their largest.
+    """
+    known = labels.where("doc_id is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("y"))
+    light = materialise(light_rows(docs).join(known, "doc_id"), "labelled")
+    sample, _ = sampled_texts(docs, light, "y", per_label, most_bytes)
     bags = [bag_of(padded(x), ORDERS, BITS) for x in sample["raw"]]
     return train(bags, sample["y"].tolist())
 
@@ -127,10 +132,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
     """Fit on labelled documents outside the held-out fold, score all."""
     fold = fold_of("doc_id", parts)
-    known = labels.where("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learning = docs.where(fold != held).select("doc_id", "text").join(known, "doc_id")
-    model = fit_toxicity(learning)
+    model = fit_toxicity(docs.where(fold != held).select("doc_id", "text"), labels)
     return score_toxicity(docs, model).select(
         "doc_id", (fold == held).alias("held_out"), "score", "predicted"
     )
