@@ -34,10 +34,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import LETTERS, fresh, raw_text
+from evalweave.llm.common import LETTERS, fresh, quoted, raw_text
 from evalweave.session import materialise
 
 _PART, _BLOCK = 64, 4
@@ -279,15 +279,19 @@ def drop_leaks(
     overlap: float = 0.5,
 ) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item. No shuffle."""
-    for index in item_indexes(benchmark):
 
+    def leaky(index: ItemIndex) -> Column:
         @F.pandas_udf("boolean")
-        def leaks(batches: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
+        def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 yield pd.Series(
-                    [bool(leaks_in(x, index, passage, stride, least, overlap)) for x in texts]
+                    [bool(leaks_in(x, index, passage, stride, least, overlap)) for x in texts],
+                    dtype=bool,
                 )
 
+        return leaks(raw_text())
+
+    for index in item_indexes(benchmark):
         flag = fresh(docs, "_leak")
-        docs = docs.withColumn(flag, leaks(raw_text())).where(f"not {flag}").drop(flag)
+        docs = docs.withColumn(flag, leaky(index)).where(~quoted(flag)).drop(flag)
     return docs
