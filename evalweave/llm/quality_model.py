@@ -29,7 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import class_sample, fresh, ngram_keys, raw_text, spans_of
+from evalweave.llm.common import (
+    fresh,
+    light_rows,
+    ngram_keys,
+    raw_text,
+    sampled_texts,
+    spans_of,
+)
 from evalweave.session import materialise
 
 BITS = 13
@@ -207,22 +214,13 @@ def _votes(text: Column) -> Column:
 
 def fit_quality(docs: DataFrame, per_class: int = 2500, most_bytes: int = 12 << 20) -> QualityModel:
     """Fit on the firing patterns of all ``docs`` and a bounded sample of their texts."""
-    voted = materialise(
-        docs.select("doc_id", _votes(raw_text()).alias("votes")),
-        "votes",
-    )
-    patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    voted = materialise(light_rows(docs, _votes(raw_text()).alias("votes")), "votes")
+    patterns = {
+        r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    }
     posterior, *_ = label_model(patterns)
-    side = F.when(_chance(F.col("votes"), posterior) >= 0.5, 1).otherwise(0)
-    named = docs.select("doc_id", "text", _votes(raw_text()).alias("votes")).withColumn("y", side)
-    n = {y: sum(c for k, c in patterns.items() if (posterior[k] >= 0.5) == bool(y)) for y in (0, 1)}
-    shares = {y: min(1.0, per_class / c) for y, c in n.items() if c}
-    sample = class_sample(named, "y", shares).select(raw_text().alias("raw"), "votes", "y")
-    sizes = sample.agg(F.sum(F.octet_length("raw")).alias("b")).first()["b"] or 0
-    if sizes > 2 * most_bytes:  # very long texts: fewer of them
-        shares = {y: s * 2 * most_bytes / sizes for y, s in shares.items()}
-        sample = class_sample(named, "y", shares).select(raw_text().alias("raw"), "votes", "y")
-    held = sample.toPandas().sort_values(["raw"], kind="stable")
+    side = (_chance(F.col("votes"), posterior) >= 0.5).cast("int")
+    held, shares = sampled_texts(docs, voted.withColumn("y", side), "y", per_class, most_bytes)
     weight = np.array([1.0 / shares[y] for y in held["y"]])
     weight = weight / max(1e-9, weight.mean()) if len(weight) else weight
     soft = np.array([posterior[v] for v in held["votes"]])
