@@ -354,8 +354,8 @@ def score_documents(
     parts: int = 5,
     held: int = 1,
     tune_parts: int = 10,
-    block_bytes: int = 12 << 20,
-    bucket_tokens: int = 4_000_000,
+    block_bytes: int = 6 << 20,
+    bucket_tokens: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document."""
     tune = F.pmod(F.xxhash64(F.lit("tune"), "doc_id", "text"), F.lit(tune_parts)) == 0
