@@ -93,9 +93,9 @@ def remove_repeated_windows(
     )
     covered = materialise(covered.select("r", F.col("g").alias("_gone")), "covered")
     cut, same = fresh(held, "_gone"), [c for c in docs.columns]
-    joined = held.join(
-        covered.select(F.col("r").alias(row), F.col("_gone").alias(cut)), row, "left"
-    )
+    # The same join at every size: the covered rows grow with the corpus.
+    gone = covered.select(F.col("r").alias(row), F.col("_gone").alias(cut)).hint("merge")
+    joined = held.join(gone, row, "left")
     # Only changed texts go through Python.
     safe = F.when(quoted(cut).isNotNull(), quoted(text))
     kept = F.when(
