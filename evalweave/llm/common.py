@@ -197,7 +197,8 @@ def sampled_texts(
         for r in sorted(sizes, key=lambda r: str(r[label]))
     }
     if not shares:
-        return pd.DataFrame({"h": [], "raw": [], label: []}), shares
+        names = [c for c in light.columns if c not in ("doc_id", "bytes")]
+        return pd.DataFrame(columns=["raw", *names]), shares
     pairs = [F.lit(x) for pair in shares.items() for x in pair]
     share = F.element_at(F.create_map(*pairs), F.col(label))
     chosen = light.where(hashed_share(F.col("h"), share)).drop("doc_id", "bytes").dropDuplicates(["h"])

@@ -81,7 +81,8 @@ class LanguageModel:
     def predict(self, texts: list[bytes], ambiguity: float) -> pd.DataFrame:
         if not self.labels:
             n = len(texts)
-            return pd.DataFrame({"lang_pred": ["und"] * n, "score": 0.0, "ambiguous": False})
+            und = pd.Series(["und"] * n, dtype=object)
+            return pd.DataFrame({"lang_pred": und, "score": np.zeros(n), "ambiguous": np.zeros(n, bool)})
         loss = self.losses(self.margins(texts))
         order = np.argsort(loss, axis=1, kind="stable")
         best = order[:, 0]
@@ -92,7 +93,7 @@ class LanguageModel:
             close = loss[rows, order[:, 1]] - loss[rows, best] < ambiguity
         return pd.DataFrame(
             {
-                "lang_pred": [self.labels[i] for i in best],
+                "lang_pred": pd.Series([self.labels[i] for i in best], dtype=object),
                 "score": 1.0 / odds.sum(axis=1),
                 "ambiguous": close,
             }
@@ -148,7 +149,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key, at = ngram_keys(data, order, BITS)
                     held += np.bincount(key[at < cut], minlength=1 << BITS).astype(np.int32)
     yield pd.DataFrame(
-        {"label": list(found), "counts": [x.tobytes() for x in found.values()]}
+        {"label": list(found), "counts": [x.tobytes() for x in found.values()]}, dtype=object
     )
 
 
