@@ -501,7 +501,7 @@ def _review_inputs(fx: Fixtures) -> dict[str, DataFrame]:
         "altered_answer",
         F.array("altered_answer").alias("altered_accepted_answers"),
         F.array(F.lit("tide")).alias("altered_competing_answers"),
-        "needs_review", "dedup_retained",
+        "needs_review", "dedup_retained", F.col("ord").alias("place"),
     ).drop("_m")
     sides = ("original_riddle", "altered_riddle")
     action = F.element_at(
@@ -563,7 +563,7 @@ def c19_review_decisions(fx: Fixtures):
     routed = validation.review_route(**tables)
     parts = None
     for name in ("pool", "rejected", "pending"):
-        rows = routed[name].withColumn("ord", F.col("ord") % F.lit(2**61))
+        rows = routed[name].withColumn("ord", F.col("place"))
         part = rows.drop("id").join(tables["validated"].select("ord", "id"), "ord").select(
             "id", F.lit(name).alias("route"), "altered_answer",
             joined("altered_accepted_answers", "accepted"),
@@ -581,7 +581,7 @@ FROM acted WHERE route IN ('auto', 'approved')""",
 )
 def x6_review_pool_ids(fx: Fixtures):
     routed = validation.review_route(**_review_inputs(fx))
-    return routed["pool"].select("id", (F.col("ord") % F.lit(2**61)).alias("ord"))
+    return routed["pool"].select("id", F.col("place").alias("ord"))
 
 
 # ── duplicates ────────────────────────────────────────────────────────

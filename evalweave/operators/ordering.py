@@ -135,9 +135,10 @@ def representative_samples(details: DataFrame) -> DataFrame:
 def union_in_order(first: DataFrame, second: DataFrame, order: str = "ord") -> DataFrame:
     """UNION ALL by name in which every row of ``second`` comes after ``first``.
 
-    The second part is shifted by 2**61, so no maximum has to be computed first.
+    The second part continues after the largest value of the first, so unions can be chained.
     """
-    shift = F.lit(2**61)
-    return first.unionByName(
-        second.withColumn(order, F.col(order) + shift), allowMissingColumns=True
-    )
+    ends = first.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("_base"))
+    starts = second.agg(F.coalesce(F.min(order), F.lit(0)).alias("_least"))
+    moved = with_constants(with_constants(second, ends), starts)
+    moved = moved.withColumn(order, F.col(order) - F.col("_least") + F.col("_base"))
+    return first.unionByName(moved.drop("_base", "_least"), allowMissingColumns=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.operators.ordering import first_wins
+from evalweave.operators.ordering import first_wins, global_rank
 from evalweave.operators.quality import only_variant, output_record, with_text
 from evalweave.operators.resume import pending_tasks
 
@@ -66,9 +66,9 @@ def build_tasks(
         F.col("ord").alias("_entry_ord"),
         F.coalesce("id", F.lit("unknown")).alias("riddle_id"),
         F.posexplode(F.concat(original, altered)).alias("_pos", "_t"),
-    ).select(
-        (F.col("_entry_ord") * F.lit(2**16) + F.col("_pos")).alias("ord"), "riddle_id", "_t.*"
     )
+    tasks = global_rank(tasks, "_entry_ord", tiebreak=["_pos"], name="ord", start=0)
+    tasks = tasks.select("ord", "riddle_id", "_t.*")
     tasks = with_text(only_variant(tasks, only))
     return tasks if done is None else pending_tasks(tasks, done)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evalweave import schemas
 from evalweave.functions.text import SMOKE_TEST, strip
@@ -53,10 +53,16 @@ def scan_runs(spark: SparkSession, folder: str, schema: str = schemas.MODEL_OUTP
 def scan_run_partitions(
     spark: SparkSession, folder: str, schema: str = schemas.MODEL_OUTPUTS
 ) -> DataFrame:
-    """As ``scan_runs`` for a folder written by ``write_runs``: one sub-folder per run."""
-    fields = struct_of(schema).add("ord", "long").add("run_id", "string")
-    rows = spark.read.schema(fields).json(folder)
-    return rows.where(~F.col("run_id").contains(SMOKE_TEST))
+    """As ``scan_runs`` for a folder written by ``write_runs``: one sub-folder per run.
+
+    Malformed lines are skipped.
+    """
+    fields = StructType([*struct_of(schema).fields, StructField("ord", LongType())])
+    lines = spark.read.schema("value string, run_id string").text(folder)
+    rows = typed_rows(
+        parsed_lines(lines.where(~F.col("run_id").contains(SMOKE_TEST))), fields, keep=("run_id",)
+    )
+    return rows.select(*fields.names, "run_id")
 
 
 def write_runs(outputs: DataFrame, folder: str) -> None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +44,25 @@ def append_unseen(
 
     A redelivered key is dropped, whether it comes again in the same batch, in a later one,
     or because a batch is repeated after a failure: what an earlier attempt stored is found
-    by the anti join. No streaming state is kept, so nothing grows but the target. Within a
+    by the anti join. A NULL sample index means 1, other NULLs equal each other. No streaming state is kept, so nothing grows but the target. Within a
     batch the least ``order`` of a key wins. ``transform`` runs after the anti join, so it
     only sees rows that will be stored.
     """
-    keys = list(keys)
+    marks = [f"_key_{k}" for k in keys]
+
+    def marked(df: DataFrame) -> DataFrame:
+        held = [F.coalesce(k, F.lit(1)) if k == "sample_index" else F.col(k) for k in keys]
+        return df.withColumns(dict(zip(marks, held, strict=True)))
 
     def process(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_wins(batch, keys, order) if order else batch.dropDuplicates(keys)
+        rows = marked(batch)
+        fresh = first_wins(rows, marks, order) if order else rows.dropDuplicates(marks)
         if path_exists(spark, target):
-            seen = spark.read.parquet(target).select(*keys)
-            fresh = fresh.join(seen, keys, "left_anti")
+            seen = marked(spark.read.parquet(target)).select(*[F.col(m).alias(f"{m}_") for m in marks])
+            same = reduce(and_, [F.col(m).eqNullSafe(F.col(f"{m}_")) for m in marks])
+            fresh = fresh.join(seen.distinct(), same, "left_anti")
+        fresh = fresh.drop(*marks)
         if transform is not None:
             fresh = transform(fresh)
         fresh.write.mode("append").parquet(target)
