@@ -13,11 +13,12 @@ from evalweave.checks.metric_checks import (
     PAIRS,
     SIGNS,
     bootstrap_sql,
+    keyed,
     mean,
     r4,
 )
 from evalweave.checks.registry import check, joined, rounded, text
-from evalweave.checks.source_checks import evaluation_of
+from evalweave.checks.source_checks import evaluation_of, stored_evaluations
 from evalweave.operators import metrics, quality, resume
 from evalweave.operators.ordering import union_in_order
 from evalweave.plans import evaluation, runs
@@ -521,9 +522,13 @@ BOARD_ALL = (
 )
 
 
+def _metric_key(name: str) -> str:
+    return keyed(f"'{name}'", "run_id")
+
+
 def _interval(name: str, score: str, where: str) -> str:
     scores = (
-        f"\nscores_{name} AS (SELECT concat('{name}|', run_id) AS gkey, cluster, {score} AS score"
+        f"\nscores_{name} AS (SELECT {_metric_key(name)} AS gkey, cluster, {score} AS score"
         f" FROM per_riddle WHERE {where}),"
     )
     return scores + bootstrap_sql(f"scores_{name}", tag=f"_{name}")
@@ -549,13 +554,23 @@ SELECT row_number() OVER (ORDER BY cor, altered_accuracy DESC, run_ord) AS rank,
        CAST(override_samples AS BIGINT) AS conditioned_override_total, n_items AS unique_altered_riddles,
        n_solved AS conditioned_unique_altered_riddles
 FROM board JOIN tokens USING (run_id) JOIN spread USING (run_id)
-JOIN bounds_override o ON o.gkey = concat('override|', run_id) JOIN bounds_accuracy a ON a.gkey = concat('accuracy|', run_id)"""
+JOIN bounds_override o ON o.gkey = {_metric_key('override')} JOIN bounds_accuracy a ON a.gkey = {_metric_key('accuracy')}"""
 )
 
 
 @check("x14_leaderboard", LEADERBOARD)
 def x14_leaderboard(fx: Fixtures):
-    board = evaluation.leaderboard(evaluation_of(fx), fx.entries)
+    return _board(evaluation.leaderboard(evaluation_of(fx), fx.entries))
+
+
+@check("x14_from_documents", LEADERBOARD)
+def x14_from_documents(fx: Fixtures):
+    """As ``x14_leaderboard``, from stored documents, several per run."""
+    found = evaluation.evaluation_from_documents(stored_evaluations(fx))
+    return _board(evaluation.leaderboard(found, fx.entries))
+
+
+def _board(board: DataFrame) -> DataFrame:
     return board.select(
         "rank", "run_id", "rank_best", "rank_worst", rounded("conditioned_override_rate"),
         rounded("altered_accuracy"), "conditioned_override_ci95",

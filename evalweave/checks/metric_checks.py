@@ -424,6 +424,11 @@ def h60(text_sql: str) -> str:
     return f"CAST(concat('0x', substr(md5({text_sql}), 1, 15)) AS BIGINT)"
 
 
+def keyed(*columns: str) -> str:
+    """Keys joined with their lengths, as the seeds take them."""
+    return f"concat({', '.join(f'length({c}), chr(58), {c}' for c in columns)})"
+
+
 def bootstrap_sql(
     scores: str, key: str = "gkey", replicates: int = 2000, seed: int = 42, tag: str = ""
 ) -> str:
@@ -436,7 +441,7 @@ cs{t} AS (SELECT gkey, cluster, CAST(sum(CAST(round(score * 1000000000) AS BIGIN
        FROM {scores} GROUP BY gkey, cluster),
 ix{t} AS (SELECT gkey, s, n, row_number() OVER (PARTITION BY gkey ORDER BY {h60('cluster')}, cluster) - 1 AS idx FROM cs{t}),
 gr{t} AS (SELECT gkey, count(*) AS k, sum(n) AS n_total, sum(s) AS total,
-              CAST(concat('0x', substr(md5(concat('{seed}|', gkey)), 1, 8)) AS BIGINT) AS seed FROM cs{t} GROUP BY gkey),
+              CAST(concat('0x', substr(md5(concat('{seed}|', {key})), 1, 8)) AS BIGINT) AS seed FROM cs{t} GROUP BY gkey),
 reps{t} AS (SELECT gkey, k, b, (seed + b) & 4294967295 AS x FROM gr{t}, unnest(range({replicates})) t(b) WHERE k >= 5),
 bases{t} AS ({mixed('x', f'reps{t}', 'gkey, k, b')}),
 longest{t} AS (SELECT max(k) AS m FROM gr{t}),
@@ -455,7 +460,7 @@ bounds{t} AS (
     "d19_clustered_ci",
     with_views("entries", "details") + f""",{ITEM},
 scores AS (SELECT run_id AS gkey, cluster, override_mean AS score FROM per_riddle WHERE solved),
-{bootstrap_sql('scores', 'gkey')}
+{bootstrap_sql('scores', keyed('gkey'))}
 SELECT gkey AS run_id, k AS n_clusters, CAST(n_total AS BIGINT) AS n_total, round(mean, 6) AS mean,
        round(lo, 6) AS lo, round(hi, 6) AS hi, round((hi - lo) / 2, 3) AS ci95
 FROM bounds""",
@@ -480,7 +485,7 @@ def d19_clustered_ci(fx: Fixtures):
     "d20_plain_ci",
     with_views("details", "entries") + f""",{ITEM},
 scores AS (SELECT run_id AS gkey, riddle_id AS cluster, accuracy_mean AS score  FROM per_riddle),
-{bootstrap_sql('scores', 'gkey')}
+{bootstrap_sql('scores', keyed('gkey'))}
 SELECT gkey AS run_id, {r4('(hi - lo) / 2')} AS ci95 FROM bounds""",
 )
 def d20_plain_ci(fx: Fixtures):
@@ -556,11 +561,11 @@ def c15_shared_solved(fx: Fixtures):
 
 
 SIGNS = f"""
-scores AS (SELECT concat(run_a, '|', run_b) AS gkey, cluster, score FROM shared),
+scores AS (SELECT {keyed('run_a', 'run_b')} AS gkey, cluster, score FROM shared),
 {bootstrap_sql('scores', 'gkey')},
 signs AS (
   SELECT run_a, rank_a, run_b, rank_b, CASE WHEN hi < 0 THEN 1 WHEN lo > 0 THEN -1 ELSE 0 END AS sign
-  FROM (SELECT DISTINCT run_a, rank_a, run_b, rank_b FROM shared) s JOIN bounds ON gkey = concat(run_a, '|', run_b))"""
+  FROM (SELECT DISTINCT run_a, rank_a, run_b, rank_b FROM shared) s JOIN bounds ON gkey = {keyed('run_a', 'run_b')})"""
 
 
 @check(

@@ -162,20 +162,24 @@ def evaluation_of(fx: Fixtures) -> evaluation.Evaluation:
     return evaluation.evaluate_runs(fx.outputs, judged, fx.entries)
 
 
+def stored_evaluations(fx: Fixtures) -> DataFrame:
+    """The evaluated runs, written as documents of a thousand samples and read again."""
+    folder = scratch_path(fx.spark, "evals")
+    docs = evaluation_of(fx).documents(max_samples=1000).repartition("run_id", "part")
+    named = docs.withColumn(
+        "name", F.concat("run_id", F.lit("_"), F.col("part").cast("string"), F.lit("_eval.json"))
+    )
+    named.write.partitionBy("name").json(folder)
+    return documents.scan_evaluations(fx.spark, folder)
+
+
 @check(
     "a6_scan_evaluations",
     with_views("outputs") + """
 SELECT run_id, riddle_id, riddle_type, sample_index, model_answer FROM fx_outputs WHERE riddle_id LIKE 'alt%'""",
 )
 def a6_scan_evaluations(fx: Fixtures):
-    folder = scratch_path(fx.spark, "evals")
-    docs = evaluation_of(fx).documents(max_samples=1000).repartition("run_id", "part")
-    named = docs.withColumn(
-        "name", F.concat("run_id", F.lit("_"), F.col("part").cast("string"), F.lit("_eval.json"))
-    )
-    named.drop("part").write.partitionBy("name").json(folder)
-    found = documents.scan_evaluations(fx.spark, folder)
-    return documents.evaluation_details(found).select(
+    return documents.evaluation_details(stored_evaluations(fx)).select(
         "run_id", "riddle_id", "riddle_type", "sample_index", "model_answer"
     )
 

@@ -27,9 +27,17 @@ def mix32(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 15))
 
 
+def joined_keys(*keys: Column) -> Column:
+    """Text keys as one text; each carries its length and NULL is a dash, so none collide."""
+    parts = [
+        F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), k), F.lit("-")) for k in keys
+    ]
+    return F.concat(*parts)
+
+
 def group_seed(seed: int, *keys: Column) -> Column:
     """32-bit seed of a group; one MD5 per group, not per draw."""
-    text = F.concat_ws("|", F.lit(str(seed)), *keys)
+    text = F.concat(F.lit(f"{seed}|"), joined_keys(*keys))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 

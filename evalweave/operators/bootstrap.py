@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.functions.draws import MASK, chain, group_seed, hash60, mix32
+from evalweave.functions.draws import MASK, MIX_A, MIX_B, chain, group_seed, hash60, joined_keys
 from evalweave.functions.text import round4
 from evalweave.session import materialise, wide_partitions
 
@@ -21,10 +23,8 @@ REPLICATES = 2000
 SEED = 42
 MIN_CLUSTERS = 5
 _SCALE = 1_000_000_000
-_CHUNK = 4096
-# Up to here the cluster table is at most some tens of MB and goes to every executor;
-# beyond, draws and clusters meet through a shuffle on (group, index), which is uniform.
-BROADCAST_CLUSTERS = 1_000_000
+CHUNK = 4096
+_RANGE = 1 << 20
 
 
 def cluster_sums(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -63,48 +63,121 @@ def replicate_means(
     indexed: DataFrame,
     groups: DataFrame,
     replicates: int = REPLICATES,
-    broadcast: bool = True,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(g, b) -> m for every replicate of every group.
 
-    ``groups`` holds g, seed and k; ``indexed`` holds g, idx, s, n. The few group rows are
-    spread over the partitions before they are expanded to draws, and long groups are cut
-    into chunks, so one group's draws run in many tasks.
+    ``groups`` holds g, seed and k; ``indexed`` holds g, idx, s, n. Clusters are cut into
+    chunks of ``chunk`` consecutive indexes. A replicate first draws the chunk of each of its
+    k positions and keeps only the counts; the clusters themselves are drawn beside their
+    chunk. So about k / ``chunk`` rows per replicate are shuffled, no task holds more than
+    one chunk of clusters, and one rule serves every size. A group of a single chunk needs
+    no first step.
     """
     parts = wide_partitions(groups.sparkSession)
+    last_range = F.when(F.col("k") > chunk, F.floor((F.col("k") - 1) / F.lit(_RANGE)))
     starts = (
-        groups.select("g", "seed", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+        groups.select(
+            "g", "seed", "k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+        )
         .withColumn("base", chain(F.col("seed"), F.col("b")))
-        .withColumn(
-            "chunk",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / F.lit(_CHUNK)))),
+        .select(
+            "g", "k", "b", "base",
+            F.explode(
+                F.sequence(F.lit(0).cast("long"), F.coalesce(last_range, F.lit(0)).cast("long"))
+            ).alias("r"),
         )
-        .repartition(parts, "g", "b", "chunk")
+        .repartition(parts, "g", "b", "r")
     )
-    first = F.col("chunk") * _CHUNK
-    draws = starts.select(
-        "g",
-        "b",
-        "k",
-        "base",
-        F.explode(
-            F.sequence(first, F.least(F.col("k"), first + F.lit(_CHUNK)) - F.lit(1))
-        ).alias("i"),
-    )
-    pick = mix32(
-        F.col("base").bitwiseXOR(mix32(F.col("i").bitwiseAND(F.lit(MASK))))
-    ) % F.col("k")
-    picked = draws.select("g", "b", pick.alias("idx"))
-    table = indexed.select("g", "idx", "s", "n")
-    return (
-        picked.join(F.broadcast(table) if broadcast else table, ["g", "idx"])
-        .groupBy("g", "b")
-        .agg((F.sum("s") / F.sum("n") / F.lit(float(_SCALE))).alias("m"))
+    counts = (
+        starts.mapInPandas(_chunk_counter(chunk), "g BIGINT, c BIGINT, b INT, start BIGINT, n BIGINT")
+        .groupBy("g", "c", "b", "start")
+        .agg(F.sum("n").alias("draws"))
+        .repartition(parts, "g", "c")
+    )
+    table = indexed.select(
+        "g", F.floor(F.col("idx") / F.lit(chunk)).cast("long").alias("c"), "idx", "s", "n"
+    ).repartition(parts, "g", "c")
+    drawn = (
+        counts.groupBy("g", "c")
+        .cogroup(table.groupBy("g", "c"))
+        .applyInPandas(_drawn_sums, "g BIGINT, b INT, s BIGINT, n BIGINT")
     )
+    return drawn.groupBy("g", "b").agg(
+        (F.sum("s") / F.sum("n") / F.lit(float(_SCALE))).alias("m")
+    )
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """``mix32`` over an array of uint64."""
+    mask = np.uint64(MASK)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(MIX_A)) & mask
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(MIX_B)) & mask
+    return x ^ (x >> np.uint64(15))
+
+
+def _chunk_counter(chunk: int):
+    """Rows (g, k, b, base, r) to how often each chunk is drawn at the positions of range r."""
+
+    def count(batches):
+        for batch in batches:
+            g, c, b, start, n = [], [], [], [], []
+            for row in batch.itertuples(index=False):
+                if row.k <= chunk:
+                    chunks, draws = np.zeros(1, np.int64), np.array([row.k])
+                    begin = np.array([row.base], np.int64)
+                else:
+                    spots = np.arange(
+                        row.r * _RANGE, min(row.k, (row.r + 1) * _RANGE), dtype=np.uint64
+                    )
+                    picks = _mix(np.uint64(row.base) ^ _mix(spots & np.uint64(MASK)))
+                    chunks, draws = np.unique(
+                        (picks % np.uint64(row.k)).astype(np.int64) // chunk, return_counts=True
+                    )
+                    # Another stream per chunk, independent of the one that chose it.
+                    begin = np.int64(row.base) ^ _mix(chunks.astype(np.uint64) + np.uint64(1)).astype(
+                        np.int64
+                    )
+                g.append(np.full(len(chunks), row.g))
+                b.append(np.full(len(chunks), row.b))
+                c.append(chunks)
+                start.append(begin)
+                n.append(draws)
+            if g:
+                yield pd.DataFrame(
+                    {
+                        "g": np.concatenate(g), "c": np.concatenate(c), "b": np.concatenate(b),
+                        "start": np.concatenate(start), "n": np.concatenate(n),
+                    }
+                )
+
+    return count
+
+
+def _drawn_sums(counts: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+    """Per replicate the sums over its draws from one chunk of clusters."""
+    if counts.empty or clusters.empty:
+        return pd.DataFrame({"g": [], "b": [], "s": [], "n": []}).astype("int64")
+    clusters = clusters.sort_values("idx")
+    values, sizes = clusters["s"].to_numpy(np.int64), clusters["n"].to_numpy(np.int64)
+    spots = _mix(np.arange(counts["draws"].max(), dtype=np.uint64))
+    s = np.empty(len(counts), np.int64)
+    n = np.empty(len(counts), np.int64)
+    pairs = zip(counts["start"].to_numpy(np.uint64), counts["draws"].to_numpy(), strict=True)
+    for at, (start, draws) in enumerate(pairs):
+        pick = (_mix(start ^ spots[:draws]) % np.uint64(len(values))).astype(np.int64)
+        s[at], n[at] = values[pick].sum(), sizes[pick].sum()
+    return pd.DataFrame({"g": counts["g"], "b": counts["b"], "s": s, "n": n})
 
 
 def bootstrap_bounds(
-    scores: DataFrame, by: Sequence[str], replicates: int = REPLICATES, seed: int = SEED
+    scores: DataFrame,
+    by: Sequence[str],
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(by) -> n_clusters, n_total, mean, lo, hi.
 
@@ -113,16 +186,14 @@ def bootstrap_bounds(
     for groups with fewer than five clusters. Writes the cluster sums to the scratch folder.
     """
     by = list(by)
-    keyed = cluster_sums(scores, by).withColumn("g", hash60(*[F.col(c).cast("string") for c in by]))
+    keys = [F.col(c).cast("string") for c in by]
+    keyed = cluster_sums(scores, by).withColumn("g", hash60(joined_keys(*keys)))
     indexed = materialise(with_cluster_index(keyed, ["g"]), "clusters")
     groups = indexed.groupBy("g", *by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"), F.sum("s").alias("_s")
     )
-    groups = groups.withColumn("seed", group_seed(seed, *[F.col(c).cast("string") for c in by]))
-    small = indexed.count() <= BROADCAST_CLUSTERS
-    means = replicate_means(
-        indexed, groups.where(F.col("k") >= MIN_CLUSTERS), replicates, broadcast=small
-    )
+    groups = groups.withColumn("seed", group_seed(seed, *keys))
+    means = replicate_means(indexed, groups.where(F.col("k") >= MIN_CLUSTERS), replicates, chunk)
     sorted_means = F.array_sort(F.collect_list("m"))
     bounds = means.groupBy("g").agg(sorted_means.alias("_sorted")).select(
         "g",

@@ -36,13 +36,17 @@ def detail_rows(judged: DataFrame) -> DataFrame:
     )
 
 
-def _per_item(details: DataFrame) -> DataFrame:
-    """(run, item) sums over both variants, with the representative sample of each."""
+def item_sums(details: DataFrame) -> DataFrame:
+    """(run, item) sums over both variants, with the representative sample of each.
+
+    All metrics below follow from these rows, so a caller that needs several of them stores
+    this table once. The order of preference is one BIGINT, which keeps the aggregation
+    hashed on both sides of the shuffle.
+    """
     altered = F.col("riddle_type") == "altered"
     original = F.col("riddle_type") == "original"
-    preference = F.struct(
-        (F.coalesce("sample_index", F.lit(1)) != 1).alias("a"), F.col("ord").alias("b")
-    )
+    later = F.when(F.coalesce("sample_index", F.lit(1)) != 1, F.lit(2**62)).otherwise(F.lit(0))
+    preference = later + F.col("ord")
     return details.groupBy("run_id", "riddle_id").agg(
         F.count(F.when(altered, 1)).alias("n"),
         F.sum(F.when(altered, flag("correct"))).alias("n_correct"),
@@ -56,13 +60,17 @@ def _per_item(details: DataFrame) -> DataFrame:
 
 
 def run_summary(details: DataFrame) -> DataFrame:
-    """Accuracy and override rates per run.
+    """``items_summary`` straight from the details."""
+    return items_summary(item_sums(details))
+
+
+def items_summary(item: DataFrame) -> DataFrame:
+    """Accuracy and override rates per run, from ``item_sums``.
 
     Totals use the representative sample of each item. The conditioned rate averages, over
     items whose original was solved by any sample, the share of samples that gave the
     original answer.
     """
-    item = _per_item(details)
     conditioned = (F.col("n") > 0) & (F.coalesce("n_original_correct", F.lit(0)) > 0)
     original_total = F.count(F.when(F.col("n_original") > 0, 1))
     altered_total = F.count(F.when(F.col("n") > 0, 1))
@@ -97,18 +105,34 @@ def token_totals(outputs: DataFrame) -> DataFrame:
     )
 
 
+def item_samples(item: DataFrame) -> DataFrame:
+    """(run, variant, item) of ``item_sums``: what a coverage test needs of the details."""
+    variants = F.array(
+        F.when(F.col("n") > 0, F.lit("altered")), F.when(F.col("n_original") > 0, F.lit("original"))
+    )
+    return item.select(
+        "run_id", "riddle_id", F.explode(F.array_compact(variants)).alias("riddle_type")
+    )
+
+
 def per_riddle_stats(
     details: DataFrame, entries: DataFrame | None = None, condition_on: str = "riddle_id"
 ) -> DataFrame:
-    """One row per (run, altered item) with means over its samples.
+    """``items_stats`` straight from the details."""
+    return items_stats(item_sums(details), entries, condition_on)
+
+
+def items_stats(
+    item: DataFrame, entries: DataFrame | None = None, condition_on: str = "riddle_id"
+) -> DataFrame:
+    """One row per (run, altered item) with means over its samples, from ``item_sums``.
 
     ``cluster`` is the entry's original text, or the item id where the entry is unknown.
     An original is asked once, under the first entry's id, so by default only that entry
     can count as solved; ``condition_on="original_text"`` extends it to all entries that
     share the original.
     """
-    item = _per_item(details.where(F.coalesce("riddle_id", F.lit("")) != ""))
-    stats = item.select(
+    stats = item.where(F.coalesce("riddle_id", F.lit("")) != "").select(
         "run_id",
         "riddle_id",
         "n",

@@ -80,7 +80,12 @@ def run_metadata(outputs: DataFrame) -> DataFrame:
         flag.alias("enabled"), F.coalesce(F.when(flag, F.col("reasoning_effort")), F.lit("\0"))
     )
     named = F.when(F.coalesce("model", F.lit("unknown")) != "", F.col("ord"))
-    return outputs.groupBy("run_id").agg(
+    # Texts are grouping keys here, not aggregates, so the large step hashes; what remains is
+    # one row per distinct combination.
+    kinds = outputs.groupBy(
+        "run_id", "model", "provider", "quantization", "reasoning_enabled", "reasoning_effort"
+    ).agg(F.min("ord").alias("ord"))
+    return kinds.groupBy("run_id").agg(
         F.coalesce(F.min_by("model", named), F.lit("unknown")).alias("model"),
         F.coalesce(F.min_by("provider", named), F.lit("")).alias("provider"),
         F.coalesce(F.min_by("quantization", named), F.lit("")).alias("quantization"),

@@ -70,24 +70,25 @@ def without_content(items: DataFrame, *done: DataFrame) -> DataFrame:
 def with_judgments(outputs: DataFrame, judgments: DataFrame) -> DataFrame:
     """Left join of the last judgment per key; where there is none, all flags are false."""
     keys = list(OUTPUT_KEY)
-    known = last_wins(
-        judgments.withColumn("sample_index", F.coalesce("sample_index", F.lit(1))).select(
-            *keys, "ord", "judgment"
-        ),
-        keys,
-    ).drop("ord")
-    false = F.lit(False)
+    flags = ("correct", "gave_original", "competing")
+    # Packed into one number, the last verdict is found by a hashed aggregate.
+    packed = sum(
+        F.when(F.coalesce(f"judgment.{flag}", F.lit(False)), F.lit(1 << bit)).otherwise(F.lit(0))
+        for bit, flag in enumerate(flags)
+    )
+    known = (
+        judgments.withColumn("sample_index", F.coalesce("sample_index", F.lit(1)))
+        .groupBy(*keys)
+        .agg(F.max_by(packed.cast("long"), "ord").alias("_verdict"))
+    )
+    verdict = F.coalesce("_verdict", F.lit(0))
     return (
         outputs.withColumn("sample_index", F.coalesce("sample_index", F.lit(1)))
         .join(known, keys, "left")
         .withColumns(
-            {
-                "correct": F.coalesce("judgment.correct", false),
-                "gave_original": F.coalesce("judgment.gave_original", false),
-                "competing": F.coalesce("judgment.competing", false),
-            }
+            {flag: verdict.bitwiseAND(1 << bit) != 0 for bit, flag in enumerate(flags)}
         )
-        .drop("judgment")
+        .drop("_verdict")
     )
 
 

@@ -16,6 +16,7 @@ from evalweave.operators.ordering import global_rank, last_wins
 from evalweave.operators.quality import checked_run_metadata
 from evalweave.operators.resume import pending_judgments, with_entries, with_judgments
 from evalweave.session import materialise
+from evalweave.sources.documents import evaluation_details
 
 _SUMMARY = (
     "original_total",
@@ -41,16 +42,21 @@ _RATES = {
 
 @dataclass
 class Evaluation:
-    """``summary``: one row per run. ``details``: one row per judged sample."""
+    """``summary``: one row per run. ``details``: one row per judged sample.
+
+    ``items`` are the ``metrics.item_sums`` of the details, stored once for all metrics.
+    """
 
     summary: DataFrame
     details: DataFrame
+    items: DataFrame
 
     def documents(self, max_samples: int = 100_000) -> DataFrame:
         """One nested document per run, for export.
 
         A run with more than ``max_samples`` samples is spread over several documents that
-        repeat its summary, so no row grows with the run.
+        repeat its summary, so no row grows with the run. ``evaluation_from_documents`` puts
+        the parts together again.
         """
         placed = global_rank(self.details, "ord", by=["run_id"], name="_n", start=0)
         samples = (
@@ -107,21 +113,45 @@ def evaluate_runs(outputs: DataFrame, judgments: DataFrame, entries: DataFrame)
     """Summary and details of every run.
 
     Every output row is a sample, repeated keys included. Token totals cover all outputs;
-    the other numbers only items that are in ``entries``.
+    the other numbers only items that are in ``entries``. Writes the sums per item to the
+    scratch folder.
     """
     judged = with_judgments(
         with_entries(outputs, entries, ["original_answer"]), judgments
     )
     details = metrics.detail_rows(judged)
+    items = materialise(metrics.item_sums(details), "items")
     summary = (
         checked_run_metadata(outputs)
         .join(metrics.token_totals(outputs), "run_id")
-        .join(metrics.run_summary(details), "run_id", "left")
+        .join(metrics.items_summary(items), "run_id", "left")
     )
     filled = {
         c: F.coalesce(c, F.lit(0.0) if c in _RATES else F.lit(0).cast("long")) for c in _SUMMARY
     }
-    return Evaluation(summary.withColumns(filled), details)
+    return Evaluation(summary.withColumns(filled), details, items)
+
+
+def evaluation_from_documents(docs: DataFrame) -> Evaluation:
+    """The evaluation of runs read by ``scan_evaluations``.
+
+    Documents with the same run id are parts of one run: the first one's summary counts, and
+    the samples follow each other in part order. Missing texts are empty, missing flags
+    false and missing numbers 0. Writes the sums per item to the scratch folder.
+    """
+    text = {"model": "unknown", "provider": "", "quantization": ""}
+    summary = docs.where("part_ord = 1").select(
+        "run_id", "run_ord",
+        *[F.coalesce(c, F.lit(v)).alias(c) for c, v in text.items()],
+        F.coalesce("reasoning_enabled", F.lit(False)).alias("reasoning_enabled"),
+        "reasoning_effort",
+        *[
+            F.coalesce(f"summary.{c}", F.lit(0.0) if c in _RATES else F.lit(0).cast("long")).alias(c)
+            for c in _SUMMARY
+        ],
+    )
+    details = evaluation_details(docs).drop("run_ord")
+    return Evaluation(summary, details, materialise(metrics.item_sums(details), "items"))
 
 
 def distinct_samples(details: DataFrame) -> DataFrame:
@@ -151,13 +181,12 @@ def leaderboard(
     intervals and all pair tests.
     """
     summary = materialise(evaluation.summary, "summary")
-    details = evaluation.details
+    items = evaluation.items
     if complete_only:
-        summary = materialise(complete_runs(summary, details, entries), "summary")
-        details = details.join(F.broadcast(summary.select("run_id")), "run_id", "left_semi")
-    per_riddle = materialise(
-        metrics.per_riddle_stats(details, entries, condition_on), "per_riddle"
-    )
+        samples = metrics.item_samples(items)
+        summary = materialise(complete_runs(summary, samples, entries), "summary")
+        items = items.join(summary.select("run_id"), "run_id", "left_semi")
+    per_riddle = materialise(metrics.items_stats(items, entries, condition_on), "per_riddle")
     board = materialise(ranked(metrics.board_metrics(per_riddle, summary)), "board")
 
     # One bootstrap pass draws for both intervals of every run.
@@ -214,7 +243,7 @@ def type_cells(evaluation: Evaluation, entries: DataFrame) -> DataFrame:
         model_key("model", "reasoning_enabled", "reasoning_effort").alias("model_key"),
     )
     latest = last_wins(runs, ["model_key"]).drop("ord")
-    per_riddle = metrics.per_riddle_stats(evaluation.details)
+    per_riddle = metrics.items_stats(evaluation.items)
     return metrics.type_run_stats(per_riddle, entries, latest)
 
 

@@ -88,11 +88,13 @@ def scan_solver_answers(spark: SparkSession, folder: str) -> DataFrame:
 def scan_evaluations(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluated runs: ``all_results.json`` if present, else every ``*_eval.json``.
 
-    One row per document with ``run_ord``, the load order, and ``run_id``: the document's
-    own one, else the name of its file, else the load order.
+    One row per document with ``run_id``: the document's own one, else the name of its file,
+    else the load order. Documents with the same run id are parts of one run; they share
+    ``run_ord``, the load order of the first, and ``part_ord`` numbers them from 1 by
+    ``part``, then load order.
     """
     whole = f"{folder.rstrip('/')}/all_results.json"
-    fields = struct_of(schemas.EVAL_RESULTS).add("run_id", "string")
+    fields = struct_of(schemas.EVAL_RESULTS).add("run_id", "string").add("part", "long")
     reader = spark.read.schema(fields).option("multiLine", True)
     if path_exists(spark, whole):
         docs = reader.json(whole)
@@ -104,29 +106,40 @@ def scan_evaluations(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    # One row per document, so one task numbers them; the details stay out of it.
-    order = placed.select("path", "_id").withColumn(
-        "run_ord", F.row_number().over(Window.orderBy("path", "_id")).cast("long")
-    )
     name = F.nullif(F.regexp_replace(stem("json"), "_eval$", ""), F.lit("all_results"))
-    return (
-        placed.join(order, ["path", "_id"])
+    same_run = Window.partitionBy("run_id")
+    # One row per document, so one task numbers them; the details stay out of it.
+    order = (
+        placed.select("path", "_id", "part", F.coalesce("run_id", F.nullif(name, F.lit(""))).alias("_own"))
+        .withColumn("_n", F.row_number().over(Window.orderBy("path", "_id")).cast("long"))
         .withColumn(
-            "run_id",
-            F.coalesce(
-                "run_id", F.nullif(name, F.lit("")), F.concat(F.lit("run_"), F.col("run_ord").cast("string"))
-            ),
+            "run_id", F.coalesce("_own", F.concat(F.lit("run_"), F.col("_n").cast("string")))
         )
-        .drop("path", "_id")
+        .withColumns(
+            {
+                "run_ord": F.min("_n").over(same_run),
+                "part_ord": F.row_number().over(same_run.orderBy("part", "_n")).cast("long"),
+            }
+        )
+        .drop("_own", "_n", "part")
     )
+    return placed.drop("run_id").join(order, ["path", "_id"]).drop("path", "_id")
 
 
 def evaluation_details(docs: DataFrame) -> DataFrame:
-    """Flat details of evaluated runs."""
-    return docs.select(
-        "run_id", "run_ord", F.posexplode("details").alias("_pos", "_d")
-    ).select(
-        "run_id", "run_ord", (F.col("run_ord") * 2**40 + F.col("_pos")).alias("ord"), "_d.*"
+    """Flat details of evaluated runs; ``ord`` counts a run's samples over all its parts."""
+    parts = docs.select("run_id", "run_ord", "part_ord", F.size("details").alias("_size"))
+    earlier = (
+        Window.partitionBy("run_id").orderBy("part_ord").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = parts.select(
+        "run_id", "part_ord",
+        F.coalesce(F.sum(F.greatest("_size", F.lit(0))).over(earlier), F.lit(0)).alias("_start"),
+    )
+    return (
+        docs.join(starts, ["run_id", "part_ord"])
+        .select("run_id", "run_ord", "_start", F.posexplode("details").alias("_pos", "_d"))
+        .select("run_id", "run_ord", (F.col("_start") + F.col("_pos")).alias("ord"), "_d.*")
     )
 
 

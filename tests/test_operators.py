@@ -159,6 +159,29 @@ def near_texts(seed):
     return texts
 
 
+def firsts_of(texts):
+    return [i for i, t in enumerate(texts) if t and t not in texts[:i]]
+
+
+def reached(texts, a, b, threshold):
+    """Whether some row with the first text and a later one with the second are similar."""
+    ordered = [plain_ratio(texts[a], texts[b])]
+    if texts[a] in texts[b + 1 :]:
+        ordered.append(plain_ratio(texts[b], texts[a]))
+    return max(ordered) >= threshold
+
+
+@pytest.mark.parametrize("again, groups", [(False, [0, 1]), (True, [0, 0, 0])])
+def test_similarity_follows_the_row_order(spark, again, groups):
+    """Above 200 characters frequent ones are ignored in the second text of a pair only."""
+    short, long = "ab" * 99 + "a", "ba" * 101
+    assert plain_ratio(short, long) == 0.0 and plain_ratio(long, short) > 0.99
+    texts = [short, long, short][: 2 + again]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord BIGINT, altered_riddle STRING")
+    got = duplicates.duplicate_groups(rows).orderBy("ord").collect()
+    assert [r["component"] for r in got] == groups
+
+
 @pytest.mark.parametrize("seed, threshold, budget", [(0, 0.97, None), (1, 0.97, 0), (2, 0.9, 0), (3, 0.8, None)])
 def test_similar_pairs_connect_like_all_pairs(spark, seed, threshold, budget):
     import re
@@ -187,7 +210,14 @@ def test_similar_pairs_connect_like_all_pairs(spark, seed, threshold, budget):
         assert {r[0]: r[1] for r in got.collect()} == {i: find(i) for i in range(len(texts))}
         return
     nodes = duplicates.distinct_texts(rows)
-    edges = duplicates.similar_pairs(nodes, threshold, pair_budget=budget)
+    edges = duplicates.connecting_pairs(nodes, threshold, pair_budget=budget)
+    every = {
+        (a, b)
+        for a in firsts_of(clean)
+        for b in firsts_of(clean)
+        if a < b and reached(clean, a, b, threshold)
+    }
+    assert {tuple(r) for r in duplicates.similar_pairs(nodes, threshold).collect()} == every
     linked = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     firsts = [r["node"] for r in nodes.collect()]
     got = {n: linked.get(n, n) for n in firsts}
@@ -239,13 +269,11 @@ def test_representative_is_first_with_most_answers(spark):
     ]
 
 
-def test_bootstrap_paths_agree(spark, monkeypatch):
+def test_bootstrap_repeats_over_partitions(spark):
     rng = random.Random(1)
     rows = [(f"r{i % 2}", f"c{i % 37}", rng.random()) for i in range(400)]
     scores = spark.createDataFrame(rows, "run STRING, cluster STRING, score DOUBLE")
     near = sorted(map(tuple, bootstrap.bootstrap_bounds(scores, ["run"], 200).collect()))
-    monkeypatch.setattr(bootstrap, "BROADCAST_CLUSTERS", 0)
-    monkeypatch.setattr(bootstrap, "_CHUNK", 5)
     far = sorted(map(tuple, bootstrap.bootstrap_bounds(scores.repartition(7), ["run"], 200).collect()))
     assert near == far
     assert all(lo < mean < hi for _, _, _, mean, lo, hi in near)
