@@ -269,7 +269,7 @@ items AS (SELECT doc_id, 0 AS pos, lang AS altered_answer, text FROM calls
 
 @check(
     "h10_generated_lists",
-    "WITH " + GENERATED + " SELECT doc_id * 1048576 + pos AS ord, CAST(altered_answer <> '' AS VARCHAR) AS valid FROM items",
+    "WITH " + GENERATED + " SELECT doc_id * 2147483648 + pos AS ord, CAST(altered_answer <> '' AS VARCHAR) AS valid FROM items",
 )
 def h10_generated_lists(fx: Fixtures):
     return generation.generated_items(_generated(fx)).select("ord", text("valid"))
@@ -277,7 +277,7 @@ def h10_generated_lists(fx: Fixtures):
 
 @check(
     "b6_required_fields",
-    "WITH " + GENERATED + " SELECT doc_id * 1048576 + pos AS ord FROM items WHERE altered_answer <> ''",
+    "WITH " + GENERATED + " SELECT doc_id * 2147483648 + pos AS ord FROM items WHERE altered_answer <> ''",
 )
 def b6_required_fields(fx: Fixtures):
     return generation.generated_items(_generated(fx)).where("valid").select("ord")
@@ -862,16 +862,18 @@ def x7_promote_add_capped(fx: Fixtures):
 
 @check(
     "x8_promote_split",
-    with_views("pool") + f""",{ROUNDS}
-SELECT CASE WHEN pick <= 60 THEN 'fixed' ELSE 'auxiliary' END AS set_name, count(*) AS n FROM picked WHERE pick <= 150 GROUP BY 1""",
+    with_views("pool") + f""",{ROUNDS},
+rest AS (SELECT ord, family FROM fam WHERE ord NOT IN (SELECT ord FROM picked WHERE pick <= 60)),
+again AS (SELECT family, row_number() OVER (ORDER BY min(ord)) AS family_ord FROM rest GROUP BY family),
+turns AS (SELECT ord, family_ord, row_number() OVER (PARTITION BY family ORDER BY ord) AS rnd FROM rest JOIN again USING (family)),
+second AS (SELECT ord, row_number() OVER (ORDER BY rnd, family_ord) AS pick FROM turns)
+SELECT printf('alt_%04d', pick) AS id, 'fixed' AS set_name, ord % 1000003 AS item FROM picked WHERE pick <= 60
+UNION ALL SELECT printf('alt_%04d', 60 + pick), 'auxiliary', ord % 1000003 FROM second WHERE pick <= 90""",
 )
 def x8_promote_split(fx: Fixtures):
-    fixed, auxiliary, _ = promotion.promote_split(fx.pool, 60, 90, cap=None)
-    return (
-        fixed.unionByName(auxiliary)
-        .groupBy(F.col("set").alias("set_name"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    pool = fx.pool.withColumn("item", F.col("ord") % 1000003)
+    fixed, auxiliary, _ = promotion.promote_split(pool, 60, 90, cap=None)
+    return fixed.unionByName(auxiliary).select("id", F.col("set").alias("set_name"), "item")
 
 
 @check("x8_promote_split_capped")
@@ -884,12 +886,13 @@ def x8_promote_split_capped(fx: Fixtures):
     "x9_refresh_auxiliary",
     with_views("pool", "entries") + f""",{ROUNDS},
 base AS (SELECT max(CAST(substr(id, 5) AS BIGINT)) AS b FROM fx_entries WHERE set_name = 'fixed')
-SELECT printf('alt_%04d', b + pick) AS id FROM picked, base WHERE pick <= 120""",
+SELECT printf('alt_%04d', b + pick) AS id, ord % 1000003 AS item FROM picked, base WHERE pick <= 120""",
 )
 def x9_refresh_auxiliary(fx: Fixtures):
     fixed = fx.entries.where("set_name = 'fixed'")
-    fresh, _ = promotion.refresh_auxiliary(fx.pool, fixed, 120, cap=None)
-    return fresh.select("id")
+    pool = fx.pool.withColumn("item", F.col("ord") % 1000003)
+    fresh, _ = promotion.refresh_auxiliary(pool, fixed, 120, cap=None)
+    return fresh.select("id", "item")
 
 
 @check(

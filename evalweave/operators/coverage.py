@@ -71,14 +71,20 @@ def complete_runs(runs: DataFrame, details: DataFrame, entries: DataFrame) -> Da
 def missing_items(runs: DataFrame, details: DataFrame, entries: DataFrame) -> DataFrame:
     """(run, variant, item) expected but absent, for incomplete runs only.
 
-    The expectation is spread over incomplete runs alone, which the linear report finds
-    first.
+    Every expected item meets the list of incomplete runs that have it, in one join on the
+    item, and gives a row for each of the others; so only missing ones become rows. A list
+    holds run ids, at most one per incomplete run.
     """
+    item = ["riddle_type", "riddle_id"]
     report = coverage_report(runs, details, entries)
-    short = report.where("missing_altered > 0 OR missing_original > 0").select("run_id")
-    wanted = (
-        short.withColumn("_const", F.lit(1))
-        .join(expected_coverage(entries).withColumn("_const", F.lit(1)), "_const")
-        .drop("_const")
+    short = report.where("missing_altered > 0 OR missing_original > 0").select("run_id").distinct()
+    every = short.agg(F.collect_list("run_id").alias("_every"))
+    have = (
+        covered(details)
+        .join(short, "run_id", "left_semi")
+        .groupBy(*item)
+        .agg(F.collect_list("run_id").alias("_have"))
     )
-    return wanted.join(covered(details), ["run_id", "riddle_type", "riddle_id"], "left_anti")
+    wanted = with_constants(expected_coverage(entries), every).join(have, item, "left")
+    absent = F.array_except("_every", F.coalesce("_have", F.array().cast("array<string>")))
+    return wanted.select(F.explode(absent).alias("run_id"), *item)

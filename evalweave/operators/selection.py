@@ -127,7 +127,7 @@ def _candidates(pool: DataFrame, existing: DataFrame | None, cap: int | None) ->
     )
     items = (
         with_family(open_items.where(~F.col("blocked")))
-        .join(F.broadcast(ordered), "family")
+        .join(ordered, "family")
         .select("ord", "family_ord", "original_key", "room")
     )
     free = items.where("room IS NULL").withColumn("contested", F.lit(False))
@@ -234,7 +234,7 @@ def _contested_decisions(
             F.min("pos").alias("_from"), F.max("pos").alias("_to")
         )
         block = (
-            open_rows.join(F.broadcast(start), "family_ord")
+            open_rows.join(start, "family_ord")
             .where(F.col("pos") < F.col("_from") + share)
             .withColumn("more", F.col("_to") >= F.col("_from") + share)
             .select("ord", "family_ord", "original_key", "room", "base", "more")
@@ -251,7 +251,7 @@ def _contested_decisions(
             joined.where("taken IS NULL")
             .drop("taken")
             .join(by_original, "original_key", "left")
-            .join(F.broadcast(by_family), "family_ord", "left")
+            .join(by_family, "family_ord", "left")
             .select(
                 "ord",
                 "family_ord",
@@ -336,11 +336,13 @@ def least_represented(
     """
     counted = with_representation(source, raw)
     tie = F.shiftright(hash60(F.lit(str(seed)), F.col("riddle_idx").cast("string")), 28)
-    order = F.least(F.col("n"), F.lit(2**30)) * F.lit(2**32) + tie
+    # Distinct counts are numbered, as different ones are few: n of them take n^2 / 2 rows.
+    levels = global_rank(counted.select("n").distinct(), "n", name="_level", start=0)
+    order = F.col("_level") * F.lit(2**32) + tie
     ranked = global_rank(
-        counted.withColumn("_order", order), "_order", tiebreak=["n", "riddle_idx"],
+        counted.join(levels, "n").withColumn("_order", order), "_order", tiebreak=["riddle_idx"],
         name="_p", start=0,
-    ).drop("_order")
+    ).drop("_order", "_level")
     picks = source.sparkSession.range(count).withColumnRenamed("id", "call_idx")
     size = ranked.agg(F.count(F.lit(1)).alias("_size"))
     turns = with_constants(picks, size).where("_size > 0").select(

@@ -47,13 +47,13 @@ def generated_items(responses: DataFrame) -> DataFrame:
     """(ord, item, valid) for every element of the generated lists.
 
     ``responses`` holds call_idx, text and error. Failed or unreadable calls give no rows;
-    ``ord`` follows the call and the place in its list.
+    ``ord`` follows the call and the place in its list, which is always below 2**31.
     """
     return (
         responses.where(F.col("error").isNull())
         .select("call_idx", F.posexplode(json_array(strip_fences("text"))).alias("_pos", "item"))
         .select(
-            (F.col("call_idx") * F.lit(2**20) + F.col("_pos")).alias("ord"),
+            (F.col("call_idx") * F.lit(2**31) + F.col("_pos")).alias("ord"),
             "item",
             has_required_fields(F.col("item")).alias("valid"),
         )

@@ -19,7 +19,7 @@ def judged_answers(answers: DataFrame, judgments: DataFrame) -> DataFrame:
     latest = answers.groupBy("solver").agg(
         F.max("solver_ord").alias("_load"), F.min("solver_ord").alias("_first")
     )
-    kept = answers.join(F.broadcast(latest), "solver").where("solver_ord = _load")
+    kept = answers.join(latest, "solver").where("solver_ord = _load")
     asked = kept.groupBy("solver", "riddle_idx").agg(F.min("_first").alias("solver_ord"))
     verdicts = last_wins(
         judgments.select("solver", "riddle_idx", "ord", "judgment"), ["solver", "riddle_idx"]

@@ -82,7 +82,7 @@ def scan_solver_answers(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.min_by("solver", "ord"), F.first("stem")).alias("solver"),
         F.min("ord").alias("solver_ord"),
     )
-    return rows.drop("solver").join(F.broadcast(labels), "stem").drop("stem")
+    return rows.drop("solver").join(labels, "stem").drop("stem")
 
 
 def scan_evaluations(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,8 +167,13 @@ def snapshot(table: DataFrame, folder: str, stamp: str) -> str:
 def release_export(
     spark: SparkSession, source: str, target: str, schema: str = schemas.ENTRIES
 ) -> DataFrame:
-    """Write the public columns of an entries file. A malformed line fails the job."""
-    strict = spark.read.schema(struct_of(schema)).option("mode", "FAILFAST").json(source)
-    released = release_columns(strict)
-    released.write.mode("overwrite").json(target)
-    return released
+    """Write the public keys of an entries file and return the written rows.
+
+    Values of any type are kept, null ones too; absent keys stay absent. A malformed line
+    fails the job.
+    """
+    lines = spark.read.text(source).where(F.col("value").rlike(r"\S"))
+    item = F.from_json("value", "map<string,variant>", {"mode": "FAILFAST"})
+    public = F.map_filter(item, lambda key, _: key.isin(*schemas.RELEASE_COLUMNS))
+    lines.select(F.to_json(public).alias("value")).write.mode("overwrite").text(target)
+    return release_columns(spark.read.schema(struct_of(schema)).json(target))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from evalweave.functions.parsing import json_truthy, strict_json
 from evalweave.functions.text import strip
-from evalweave.session import scratch_path
 from evalweave.sources.textlines import numbered_lines, path_exists
 
 
@@ -77,23 +78,22 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Replace a JSONL folder, also when ``df`` reads from it.
 
-    The rows are written beside the target first and moved over it when they are complete,
-    so a failed job leaves the old data in place.
+    The rows are written beside the target first and take its place when they are complete.
+    The old folder is moved aside and deleted last, so a failed job leaves it in place.
     """
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.__new__"
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(fresh)
+    mark = uuid.uuid4().hex
+    fresh, aside = f"{path.rstrip('/')}.__new__{mark}", f"{path.rstrip('/')}.__old__{mark}"
+    df.write.option("ignoreNullFields", "false").json(fresh)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    target, source = path_of(path), path_of(fresh)
+    target, source, old = path_of(path), path_of(fresh), path_of(aside)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
+    held = fs.exists(target)
+    if held and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if held:
+            fs.rename(old, target)
         raise OSError(f"could not move {fresh} to {path}")
-
-
-def scratch_jsonl(df: DataFrame, label: str) -> str:
-    """Write rows as JSONL to the scratch folder and return the path."""
-    path = scratch_path(df.sparkSession, label)
-    append_jsonl(df, path)
-    return path
+    if held:
+        fs.delete(old, True)

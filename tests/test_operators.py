@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import grams
-from evalweave.operators import bootstrap, duplicates, ordering, quality, resume, selection
+from evalweave.operators import bootstrap, coverage, duplicates, ordering, quality, resume, selection
 from evalweave.operators.components import connected_components
 from evalweave.plans import promotion, runs
+from evalweave.sources import documents, jsonl
 
 
 @pytest.mark.parametrize("spread", [1, 2**22, 2**40])
@@ -363,3 +364,62 @@ def test_cyclic_picks(spark):
     used = spark.createDataFrame([("S0 ",), ("s0",), ("s1",)], "original_riddle STRING")
     order = selection.least_represented(source, used, 3).orderBy("call_idx").collect()
     assert [r["riddle_idx"] for r in order] == [2, 1, 0]
+
+
+def test_missing_items(spark):
+    rng = random.Random(4)
+    items = [f"i{i}" for i in range(12)]
+    entries = spark.createDataFrame(
+        [(i, x, f"t{i % 5}" if i % 7 else None) for i, x in enumerate(items)] + [(99, None, "t9")],
+        "ord BIGINT, id STRING, original_riddle STRING",
+    )
+    expected = {("altered", x) for x in items}
+    first = {}
+    for i, x in enumerate(items):
+        if i % 7:
+            first.setdefault(f"t{i % 5}", x)
+    expected |= {("original", x) for x in first.values()}
+    seen = {("full", *e) for e in expected} | {
+        ("some", *e) for e in sorted(expected) if rng.random() < 0.5
+    }
+    rows = [*seen, *list(seen)[:5], ("some", "altered", None), ("some", "altered", "other")]
+    details = spark.createDataFrame(rows, "run_id STRING, riddle_type STRING, riddle_id STRING")
+    names = spark.createDataFrame([("full",), ("some",), ("none",)], "run_id STRING")
+    got = coverage.missing_items(names, details, entries)
+    want = {(r, *e) for r in ("some", "none") for e in expected} - seen
+    assert Counter(tuple(x) for x in got.collect()) == Counter(want)
+    assert not coverage.missing_items(names, details, entries.where("false")).collect()
+
+
+def test_write_jsonl_over_its_own_source(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    jsonl.write_jsonl(spark.range(7).selectExpr("id", "cast(null as string) AS t"), path)
+    for k in (1, 2):
+        held = jsonl.scan_jsonl(spark, path, "id BIGINT, t STRING").drop("ord")
+        jsonl.write_jsonl(held.withColumn("id", F.col("id") + 1), path)
+        assert {r["id"] for r in spark.read.json(path).collect()} == set(range(k, 7 + k))
+    assert [p.name for p in tmp_path.iterdir()] == ["rows"]
+
+
+def test_release_keeps_nulls(spark, tmp_path):
+    source, target = tmp_path / "entries.jsonl", str(tmp_path / "out")
+    source.write_text(
+        '{"id": "a", "type": null, "set": "fixed", "original_answer": 7}\n\n{"original_riddle": "ü"}\n'
+    )
+    released = documents.release_export(spark, str(source), target)
+    lines = sorted(r["value"] for r in spark.read.text(target).collect())
+    assert lines == ['{"id":"a","type":null,"original_answer":7}', '{"original_riddle":"ü"}']
+    assert "set" not in released.columns
+    source.write_text('{"id": "a"}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        documents.release_export(spark, str(source), target)
+
+
+def test_least_represented_with_large_counts(spark, monkeypatch):
+    counts = [(1, 2**33), (2, 2**31), (3, 0), (4, 2**33 + 1), (5, 2**31)]
+    table = spark.createDataFrame(counts, "riddle_idx BIGINT, n BIGINT")
+    monkeypatch.setattr(selection, "with_representation", lambda source, raw: table)
+    picks = selection.least_represented(table, table, 7).orderBy("call_idx").collect()
+    order = [r["riddle_idx"] for r in picks]
+    assert order[0] == 3 and set(order[1:3]) == {2, 5} and order[3:5] == [1, 4]
+    assert order[5:] == order[:2]
