@@ -12,7 +12,7 @@ Defined results: null text counts as empty; texts without words have fingerprint
 are linked like any others; fewer words than a shingle: the whole sequence is one; component
 ids are the smallest document id reached, null ids count only if there is no other; repeated
 rows are linked; an empty table gives no rows. Other columns are ignored, and kept by
-``one_per_group``.
+``one_per_group``, which links by exact similarity instead (``jaccard``).
 
 Scale: only (doc_id, fingerprint) rows are shuffled. Fingerprints are reduced to distinct
 ones before the join, so copies cost one row. Pairs of nodes with more than ``most`` leaves
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import fresh, numbered_rows, quoted, raw_text
+from evalweave.llm.jaccard import similar_links, sketch
 from evalweave.operators.components import connected_components
 from evalweave.session import materialise
 
@@ -274,19 +275,26 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     )
 
 
-def one_per_group(docs: DataFrame, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document per component: the one with the smallest id, nulls last."""
+def one_per_group(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document per group of near copies: the one with the smallest id, nulls last.
+
+    Near copies have a Jaccard similarity of five-word shingles of ``least`` or more
+    (``jaccard``). Fingerprints play no part: at 0.8 they differ in more bits than any budget
+    that still tells other texts apart.
+    """
     row = fresh(docs, "_row")
     stored = numbered_rows(docs, row, "simhash")
-    held = materialise(
-        with_fingerprint(
-            stored.select(quoted(row).alias("row"), quoted(key).alias("k"), quoted(text).alias("text")), "fp"
-        ).select("row", "k", "fp"),
-        "prints",
-    )
+    texts = stored.select(quoted(row).alias("id"), quoted(key).alias("k"), quoted(text).alias("text"))
+    held = materialise(texts.select("id", "k", sketch("text").alias("s")).select("id", "k", "s.*"), "sketches")
     # Nulls come first in a struct's order, so the flag puts them last.
-    order = F.struct(F.col("k").isNull(), F.col("k"), F.col("row"))
-    prints = materialise(held.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    component = component_of_prints(prints, budget)
-    chosen = prints.join(component, "fp").groupBy("component").agg(F.min("first").alias("f"))
-    return stored.join(chosen.select(F.col("f.row").alias(row)), row, "left_semi").drop(row)
+    order = F.struct(F.col("k").isNull(), F.col("k"), F.col("id"))
+    # Equal sequences of words are one text.
+    distinct = materialise(held.groupBy("digest").agg(F.min(order).alias("first")), "distinct")
+    sketches = held.join(distinct.select(F.col("first.id").alias("id")), "id", "left_semi")
+    links = similar_links(sketches.select("id", "size", "keys"), texts.select("id", "text"), least)
+    component = connected_components(links)
+    named = distinct.join(component, F.col("first.id") == F.col("node"), "left").select(
+        "first", F.coalesce("component", "first.id").alias("component")
+    )
+    chosen = named.groupBy("component").agg(F.min("first").alias("f"))
+    return stored.join(chosen.select(F.col("f.id").alias(row)), row, "left_semi").drop(row)

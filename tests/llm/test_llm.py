@@ -233,6 +233,30 @@ def test_one_document_of_each_group_stays(docs):
     assert 4 in kept and 5 not in kept and kept.count(4) == 1 and 10 in kept and 11 not in kept
 
 
+def test_edited_near_copies_leave_the_groups(spark):
+    rng = random.Random(11)
+    texts = []
+    for i in range(30):
+        text = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(text)
+        for gap in (25, 40, 70):  # a changed word touches five shingles
+            copy = list(texts[-1] if i % 2 else text)
+            for at in range(rng.randrange(10), len(copy), gap):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append(copy)
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    joined = [(i, (" " if i % 3 else "\n").join(t).upper()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(joined, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.one_per_group(df).collect())
+    assert kept == sorted(set(root)) and 30 <= len(kept) < len(texts)
+
+
 def test_rule_counts():
     assert quality_rules.rule_counts(b"a b c a b c\n#x\n\n#x\n") == (8, 10, 2, 1, 6)
     assert quality_rules.rule_counts(b"") == (0, 0, 0, 0, 0)
