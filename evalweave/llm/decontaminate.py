@@ -11,7 +11,8 @@ threshold; all others cannot hold a hit. In what is left the postings give exact
 all parts at or above the threshold are candidates, with no limit on their number.
 
 Verification: around the passage, the share of the item's question and of its answer whose
-pairs of words occur must both reach ``overlap``. Without columns ``question`` and
+pairs of words occur must both reach ``overlap``. Every passage at or above the threshold is
+verified in its own region until the best verified one of an item is known. Without columns ``question`` and
 ``answer`` an item's last sentence is its answer, and of a single sentence the last third.
 
 Defined results: null texts count as empty; an empty document has no hits; an item without
@@ -72,13 +73,25 @@ def pairs_of(words: list[bytes]) -> set:
     return set(zip(words, words[1:], strict=False)) if len(words) > 1 else set(words)
 
 
-def overlap_of(wanted: list[bytes], region: list[bytes], pairs: set) -> float:
-    if not wanted:
-        return 1.0
-    if len(wanted) == 1:
-        return float(wanted[0] in region)
-    need = pairs_of(wanted)
-    return len(need & pairs) / len(need)
+class Places:
+    """Where the pairs of ``wanted`` begin in the words from ``low`` to ``high``; found once for
+    all regions of an item."""
+
+    def __init__(self, wanted: list[bytes], words: list[bytes], low: int, high: int):
+        number = {p: i for i, p in enumerate(pairs_of(wanted))}
+        self.need = len(number)
+        self.width = min(2, len(wanted))
+        part = words[low:high]
+        stream = zip(part, part[1:], strict=False) if self.width == 2 else part
+        found = [(at, number[p]) for at, p in enumerate(stream, low) if p in number]
+        self.at, self.which = np.array(found, np.int64).reshape(-1, 2).T
+
+    def share(self, low: int, high: int) -> float:
+        """The share of the pairs that stand in the words from ``low`` to ``high``."""
+        if not self.need:
+            return 1.0
+        a, b = np.searchsorted(self.at, [low, high - self.width + 1])
+        return len(np.unique(self.which[a:b])) / self.need
 
 
 @dataclass
@@ -170,21 +183,27 @@ def leaks_in(
         ids = np.array([get(w, 0) for w in words[base : base + _CHUNK + passage]], np.int64)
         if not ids.any():
             continue
-        seen: dict[int, tuple[float, int]] = {}
+        seen: dict[int, dict[int, float]] = {}
         for at, block in zip(*index.block_hits(ids, passage, stride, least), strict=True):
             scores = index.part_scores(ids[at : at + passage], block)
             for j in np.flatnonzero(scores >= least):
-                item = index.owner[block * _BLOCK + j]
-                if item not in seen or scores[j] > seen[item][0]:
-                    seen[item] = (float(scores[j]), base + int(at))
-        for item, (score, at) in seen.items():
+                held = seen.setdefault(index.owner[block * _BLOCK + j], {})
+                place = base + int(at)
+                held[place] = max(float(scores[j]), held.get(place, 0.0))
+        for item, held in seen.items():
             name, question, answer = index.items[item]
             length = len(question) + len(answer)
-            region = words[max(0, at - length) : at + passage + length]
-            pairs = pairs_of(region)
-            q, a = overlap_of(question, region, pairs), overlap_of(answer, region, pairs)
-            if q >= overlap and a >= overlap and (name not in found or score > found[name][0]):
-                found[name] = (score, q, a, at)
+            low, high = max(0, min(held) - length), min(len(words), max(held) + passage + length)
+            asked, told = Places(question, words, low, high), Places(answer, words, low, high)
+            # The highest score first, on a tie the first place, until one is verified.
+            for at, score in sorted(held.items(), key=lambda x: (-x[1], x[0])):
+                if name in found and score <= found[name][0]:
+                    break
+                ends = max(0, at - length), min(len(words), at + passage + length)
+                q, a = asked.share(*ends), told.share(*ends)
+                if q >= overlap and a >= overlap:
+                    found[name] = (score, q, a, at)
+                    break
     return found
 
 

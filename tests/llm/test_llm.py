@@ -111,6 +111,30 @@ def test_leaks(docs, items):
     assert pairs == {(4, 1), (5, 1), (None, 1), (10, 4), (11, 4)}
 
 
+def test_leak_after_a_question_without_its_answer():
+    rng = random.Random(2)
+    question = [f"q{i}" for i in range(60)]
+    answer = [f"a{i}" for i in range(40)]
+    filler = [f"f{rng.randrange(3000)}" for _ in range(4000)]
+    whole = question + answer
+    item = (1, " ".join(whole), " ".join(question), " ".join(answer))
+    parts = [(0, p) for p in decontaminate.parts_of([w.encode() for w in whole])]
+    frequency = {w.encode(): 1 for w in whole}
+    index = decontaminate.build_index([item], parts, frequency, len(parts), 50.0)
+
+    def found(*parts):
+        text = " ".join(w for part in parts for w in part).encode()
+        return decontaminate.leaks_in(text, index, 96, 32, 0.5, 0.5)
+
+    other = question + [f"b{i}" for i in range(40)]
+    for first in (question, other):  # the answer is missing or another one
+        assert found(first, filler[:1000]) == {}
+        # Both places hold a whole part of the item, so the first one ties with the leak.
+        hit = found(first, filler[:1000], whole, filler[1000:1500])
+        assert set(hit) == {1} and hit[1][1:3] == (1.0, 1.0)
+    assert found(answer, filler[:1000], question) == {}
+
+
 def test_block_maxima_lose_no_part():
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(60)]
