@@ -1,12 +1,17 @@
 """Quality rules with cutoffs whose false-rejection risk is bounded on labelled holdouts.
 
-Every rule rejects a document whose statistic is above a cutoff. For each stratum the
-cutoffs of a rule are tested from the most lenient to the strictest on labelled good
-documents: a cutoff is safe if the exact binomial (Clopper-Pearson) upper bound of its
-false-rejection rate stays within the rule's share of ``risk``. The walk stops at the first
-cutoff that cannot be shown safe (fixed-sequence testing), and the error probability is split
-over rules and strata (Bonferroni), so with probability ``1 - error`` every stratum loses
-at most ``risk`` of its good documents to the rules.
+Every rule rejects a document whose statistic is above a cutoff. For each stratum one sequence
+of joint cutoffs, all rules tightened together, is tested from the most lenient to the
+strictest on labelled good documents: a step is safe if the exact binomial (Clopper-Pearson)
+upper bound of the share rejected by any rule stays within ``risk``. The walk stops at
+the first step that cannot be shown safe (fixed-sequence testing), and the error probability
+is split over strata (Bonferroni), so with probability ``1 - error`` every stratum loses at
+most ``risk`` of its good documents to the rules.
+
+A rule that suits no document of a stratum (word lengths, where words have no blanks) would end
+the walk for all. Where the other three quarters of the labels are half as many again as a test
+needs, a pilot quarter, chosen by document id, first takes the cutoffs that lose more than ``risk`` of it
+out of the sequence; the test uses the labels outside the pilot alone.
 
 Defined results: a null text counts as empty; a document without words has zero counts and
 fails the base rules; a null stratum is a stratum of its own; a stratum with too few labels
@@ -27,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import raw_text
+from evalweave.llm.common import fold_of, raw_text
 from evalweave.session import materialise
 
 _COUNTS = (
@@ -119,6 +124,42 @@ def safe_cutoff(
     return found
 
 
+def labels_needed(risk: float, error: float) -> int:
+    """The least number of good labels, none rejected, that shows a cutoff safe."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
+
+
+def joint_cutoffs(
+    firsts: np.ndarray,
+    counts: np.ndarray,
+    pilot: np.ndarray,
+    sizes: Sequence[int],
+    risk: float,
+    error: float,
+) -> list[int | None]:
+    """The place of every rule's cutoff, None without one.
+
+    ``firsts`` has, per kind of good document, the first cutoff of each rule that rejects it
+    (the number of cutoffs: none does), ``counts`` how many there are and ``pilot`` whether
+    they may be spent on the pilot.
+    """
+    allowed = list(sizes)
+    if counts[~pilot].sum() >= labels_needed(risk, error) * 3 / 2:
+        for r, size in enumerate(sizes):
+            lost = [counts[pilot & (firsts[:, r] <= i)].sum() for i in range(size)]
+            allowed[r] = int(sum(k <= risk * counts[pilot].sum() for k in lost))
+        firsts, counts = firsts[~pilot], counts[~pilot]
+    levels = max(sizes, default=0)
+    # Rules with fewer cutoffs take smaller steps, so that all end at once.
+    steps = [
+        [min(i * (size - 1) // max(1, levels - 1), most - 1) for size, most in zip(sizes, allowed, strict=True)]
+        for i in range(levels)
+    ]
+    rejected = [counts[(firsts <= np.array(step)).any(axis=1)].sum() for step in steps]
+    level = safe_cutoff(rejected, int(counts.sum()), range(levels), risk, error)
+    return [None if level is None or i < 0 else i for i in (steps[level or 0] if steps else [])]
+
+
 def learn_cutoffs(
     counted: DataFrame,
     labels: DataFrame,
@@ -131,7 +172,7 @@ def learn_cutoffs(
 
     ``counted`` has ``doc_id``, the stratum and the counts; ``labels`` has ``doc_id`` and
     ``quality`` (1: good). Only (doc_id, counts) rows are shuffled, and what is gathered per
-    stratum is one row of counters.
+    stratum is a row per combination of the cutoffs that reject, at most a few thousand.
     """
     good = (
         labels.where("doc_id is not null and quality is not null")
@@ -140,37 +181,38 @@ def learn_cutoffs(
         .where("quality = 1")
         .select("doc_id")
     )
-    tests = [
-        F.sum((F.expr(r.statistic) > F.lit(c)).cast("long")).alias(f"{r.name}_{i}")
+    # The first cutoff that rejects a document tells all later ones.
+    first = [
+        (
+            F.size(F.array_compact(F.array(*[F.when(F.expr(r.statistic) <= c, 1) for c in r.cutoffs])))
+            if r.cutoffs
+            else F.lit(0)
+        ).alias(f"first_{r.name}")
         for r in rules
-        for i, c in enumerate(r.cutoffs)
     ]
+    names = [f"first_{r.name}" for r in rules]
     table = materialise(
         counted.where(~base_failed())
         .join(good, "doc_id", "left_semi")
-        .groupBy(F.col(stratum).alias("stratum"))
-        .agg(F.count(F.lit(1)).alias("n_good"), *tests),
+        .select(F.col(stratum).alias("stratum"), (fold_of("doc_id", 4) == 0).alias("pilot"), *first)
+        .groupBy("stratum", "pilot", *names)
+        .agg(F.count(F.lit(1)).alias("n")),
         "holdout",
     )
-    share = error / max(1, table.count() * len(rules))
-
-    def choose(batches):
-        for pdf in batches:
-            out = pdf[["stratum", "n_good"]].copy()
-            for r in rules:
-                columns = [f"{r.name}_{i}" for i in range(len(r.cutoffs))]
-                out[r.name] = np.array(
-                    [
-                        safe_cutoff(row, n, r.cutoffs, risk / len(rules), share)
-                        for row, n in zip(pdf[columns].to_numpy(), pdf["n_good"], strict=True)
-                    ],
-                    dtype=float,
-                )
-            yield out.astype({"n_good": "int64"})
+    share = error / max(1, table.select("stratum").distinct().count())
+    sizes = [len(r.cutoffs) for r in rules]
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        firsts = pdf[names].to_numpy(np.int64)
+        chosen = joint_cutoffs(firsts, pdf["n"].to_numpy(), pdf["pilot"].to_numpy(bool), sizes, risk, share)
+        out = pdf[["stratum"]].iloc[:1].assign(n_good=int(pdf["n"].sum()))
+        for r, at in zip(rules, chosen, strict=True):
+            out[r.name] = np.nan if at is None else float(r.cutoffs[at])
+        return out
 
     kind = dict(table.dtypes)["stratum"]
     schema = f"stratum {kind}, n_good long, " + ", ".join(f"{r.name} double" for r in rules)
-    return materialise(table.mapInPandas(choose, schema), "cutoffs")
+    return materialise(table.groupBy("stratum").applyInPandas(choose, schema), "cutoffs")
 
 
 def judge(

@@ -290,6 +290,22 @@ def test_rule_counts():
     assert quality_rules.safe_cutoff([0], 5, (3.0,), 0.02, 0.01) is None
 
 
+def test_small_strata_get_joint_cutoffs(spark):
+    plain = lambda i: " ".join(f"word{(i * 7 + j) % 997}" for j in range(60))
+    texts = [(s * 1000 + i, plain(i), f"l{s}") for s in range(4) for i in range(300)]
+    texts += [(s * 1000 + 900, plain(0) + " #$%" * 200, f"l{s}") for s in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(t[0], int(t[0] % 1000 != 900)) for t in texts], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.risk_controlled_rules(docs, known).collect()}
+    assert {d for d, k in kept.items() if not k} == {900, 1900, 2900, 3900}
+    # 217 good labels without a rejection suffice for a quarter of the error, 216 do not.
+    one = lambda n: quality_rules.joint_cutoffs(np.array([[2]]), np.array([n]), np.array([False]), [2], 0.02, 0.0125)
+    assert one(217) == [1] and one(216) == [None]
+    # A rule that rejects everything does not end the walk where labels suffice for a pilot.
+    firsts, counts, pilot = np.array([[0, 3], [0, 3]]), np.array([400, 100]), np.array([False, True])
+    assert quality_rules.joint_cutoffs(firsts, counts, pilot, [3, 3], 0.02, 0.0125) == [None, 2]
+
+
 def test_codewords_differ():
     for k in (2, 3, 5, 7, 12, 40):
         code = language.codewords(k)
