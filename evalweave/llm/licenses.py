@@ -7,7 +7,10 @@ first. A block that shares enough words with a template of m words (need = ceil(
 * m)) must hold one of the template's first m - need + 1 words in that order: only those
 prefixes are joined, on the word. Length filter: a block with fewer template words than the
 need is dropped. Positional filter: after the words at places p and q of the two ordered
-lists, no more than the shorter rest can still match. Survivors are verified.
+lists, no more than the shorter rest can still match. Survivors are verified, and must hold the
+template's telling words, without which a notice of a neighbouring license would meet it. Blocks
+are at least twice as long as the longest template. The SQL knows no telling words: it
+gives the same wherever they stand, and more labels elsewhere.
 
 A phrase table gives the base labels, wherever a phrase's words stand consecutively.
 
@@ -23,7 +26,7 @@ only candidates' words are stored and cut into blocks. Shuffled are matches, not
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,20 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
 )
 
+# What tells a template from the notices of neighbouring licenses. A block must
+# also hold all of these, each as consecutive words.
+TELLING = {
+    "Released under the MIT License": ("mit",),
+    "Licensed under the Apache License, Version 2.0": ("apache", "2"),
+    "Licensed under CC BY-NC 4.0": ("nc",),
+    "Licensed under a Creative Commons Attribution-ShareAlike license": ("attribution sharealike",),
+    "This work is licensed under the GNU General Public License, version 3": ("gnu general public", "3"),
+    "subject to the terms of the Mozilla Public License, v. 2.0": ("mozilla", "2"),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": (
+        "person obtaining a copy",
+    ),
+}
+
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MOST_WORDS = 10_000
@@ -89,10 +106,17 @@ def base_matches(words: Column, n_words: Column, phrases=PHRASES) -> dict[str, C
     }
 
 
-def template_words(text: str) -> list[str]:
+def _letters(text: str) -> str:
     lower = text.translate(str.maketrans(_UPPER, _LOWER))
-    letters = "".join(c if c in _LOWER or c.isdigit() or ord(c) > 127 else " " for c in lower)
-    return sorted(set(letters.split(" ")) - {""})
+    return "".join(c if c in _LOWER or c.isdigit() or ord(c) > 127 else " " for c in lower)
+
+
+def template_words(text: str) -> list[str]:
+    return sorted(set(_letters(text).split(" ")) - {""})
+
+
+def _length(text: str) -> int:
+    return len([w for w in _letters(text).split(" ") if w])
 
 
 def word_order(words: DataFrame, vocabulary: Sequence[str]) -> list[str]:
@@ -120,6 +144,7 @@ def containment_matches(
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     threshold: float = 0.8,
     block_words: int = 64,
+    telling: Mapping[str, Sequence[str]] = TELLING,
 ) -> DataFrame:
     """(row, label, score): every pair of a block and a template that meets the threshold.
 
@@ -131,30 +156,35 @@ def containment_matches(
     for number, (label, text) in enumerate(templates):
         words = sorted(template_words(text), key=place.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        whole.append((number, label, words, len(words), need))
+        whole.append((number, label, words, len(words), need, [f" {t} " for t in telling.get(text, ())] or [" "]))
         index += [(w, number, p) for p, w in enumerate(words[: len(words) - need + 1])]
-    whole_t = _literal_table(spark, ("template", "label", "words", "m", "need"), whole)
+    whole_t = _literal_table(spark, ("template", "label", "words", "m", "need", "telling"), whole)
     index_t = _literal_table(spark, ("word", "template", "p"), index)
     ordered = F.array(*[F.lit(w) for w in order])
+    # A notice of up to half a block stands whole in some block.
+    longest = max(_length(text) for _, text in templates)
+    block_words = max(block_words, 2 * longest)
     half = block_words // 2
     blocks = (
         texts.select("row", F.split("w", " ").alias("v"))
         .select("row", "v", F.explode(F.sequence(F.lit(0), F.size("v") - 1, F.lit(half))).alias("at"))
         # In corpus order, since the first list gives the order.
-        .select("row", "at", F.array_intersect(ordered, F.slice("v", F.col("at") + 1, block_words)).alias("held"))
+        .select("row", "at", F.slice("v", F.col("at") + 1, block_words).alias("v"))
+        .select("row", "at", "v", F.array_intersect(ordered, "v").alias("held"))
         .where(F.size("held") >= min(x[4] for x in whole))
     )
     pairs = (
-        blocks.select("row", "at", "held", F.posexplode("held").alias("q", "word"))
+        blocks.select("row", "at", "v", "held", F.posexplode("held").alias("q", "word"))
         .join(F.broadcast(index_t), "word")
         .join(F.broadcast(whole_t), "template")
         .where(F.size("held") >= F.col("need"))
         .where(1 + F.least(F.col("m") - F.col("p"), F.size("held") - F.col("q")) - 1 >= F.col("need"))
     )
     share = F.size(F.array_intersect("words", "held")) / F.col("m")
+    block = F.concat(F.lit(" "), F.array_join("v", " "), F.lit(" "))
     return pairs.withColumn("score", share).where(
         F.size(F.array_intersect("words", "held")) >= F.col("need")
-    ).select("row", "label", "score")
+    ).where(F.forall("telling", lambda t: F.contains(block, t))).select("row", "label", "score")
 
 
 def license_scan(
@@ -163,6 +193,7 @@ def license_scan(
     phrases: Sequence[tuple[str, str]] = PHRASES,
     threshold: float = 0.8,
     block_words: int = 64,
+    telling: Mapping[str, Sequence[str]] = TELLING,
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     templates = [t for t in templates if template_words(t[1])]
@@ -195,7 +226,7 @@ def license_scan(
         "licenses",
     )
     matches = containment_matches(
-        rows.where("w is not null and w <> ''").select("row", "w"), order, templates, threshold, block_words
+        rows.where("w is not null and w <> ''").select("row", "w"), order, templates, threshold, block_words, telling
     )
     per_row = matches.groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max("score").alias("best")

@@ -290,6 +290,26 @@ def test_rule_counts():
     assert quality_rules.safe_cutoff([0], 5, (3.0,), 0.02, 0.01) is None
 
 
+def test_neighbouring_licenses_are_told_apart(spark):
+    notices = [
+        ("Licensed under CC BY-SA 4.0", ""), ("Licensed under CC BY 4.0", ""),
+        ("Released under the Apache License", ""), ("Licensed under the Mozilla Public License, Version 2.0", ""),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", ""),
+        ("This work is licensed under the GNU General Public License, version 2", ""),
+        ("subject to the terms of the Eclipse Public License, v. 2.0", ""),
+        ("Licensed under a Creative Commons Attribution license", ""),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", ""),
+    ]
+    notices += [(text, label) for label, text in licenses.TEMPLATES]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.license_scan(df).collect()}
+    assert found == {i: label for i, (_, label) in enumerate(notices)}
+    # A template longer than a block of 64 words is still found.
+    long = " ".join(f"term{i}" for i in range(150))
+    df = spark.createDataFrame([(1, "x " * 40 + long)], "doc_id long, text string")
+    assert [r["labels"] for r in licenses.license_scan(df, [("own", long)]).collect()] == ["own"]
+
+
 def test_small_strata_get_joint_cutoffs(spark):
     plain = lambda i: " ".join(f"word{(i * 7 + j) % 997}" for j in range(60))
     texts = [(s * 1000 + i, plain(i), f"l{s}") for s in range(4) for i in range(300)]
