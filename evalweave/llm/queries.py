@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm import (
     decontaminate,
+    forest,
     language,
     licenses,
     line_dedup,
@@ -18,6 +19,7 @@ from evalweave.llm import (
     quality_rules,
     simhash,
     toxicity,
+    vector_codes,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +102,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others."""
+    return forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_vector_codes", vector_codes.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and quantisation error of every embedding."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
