@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm import (
+    ball_search,
     decontaminate,
     forest,
     language,
@@ -110,6 +111,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_lexical_search", ball_search.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ball_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_vector_codes", vector_codes.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code and quantisation error of every embedding."""
