@@ -204,5 +204,7 @@ def sampled_texts(
     chosen = light.where(hashed_share(F.col("h"), share)).drop("doc_id", "bytes").dropDuplicates(["h"])
     chosen = materialise(chosen, "sample")
     texts = docs.select(_row_hash().alias("h"), raw_text().alias("raw"))
-    held = texts.join(F.broadcast(chosen), "h").toPandas().drop_duplicates("h")
+    # However many rows are equal, one of each comes to the driver.
+    others = [c for c in chosen.columns if c != "h"]
+    held = texts.join(F.broadcast(chosen), "h").groupBy("h", *others).agg(F.any_value("raw").alias("raw")).toPandas()
     return held.sort_values("h", kind="stable").reset_index(drop=True), shares
