@@ -811,11 +811,50 @@ picked AS (SELECT ord, row_number() OVER (ORDER BY rnd, family_ord) AS pick FROM
     with_views("pool") + f""",{ROUNDS} SELECT ord, pick FROM picked""",
 )
 def e6_round_robin(fx: Fixtures):
-    """The rounds without a cap; the cap is tested against a plain greedy."""
+    """The rounds without a cap."""
     return selection.balanced_order(fx.pool)
 
 
-@check("e6_round_robin_capped")
+def capped_rounds(name: str, pool: str, uses: str, cap: int) -> str:
+    """The capped rounds, one turn per step: ``pool`` is played, ``uses`` (k, n) counts what is taken.
+
+    The state is the next place in every family's queue and the room left per original.
+    """
+    return f"""
+fam_{name} AS (SELECT ord, {FAMILY} AS family, lower(trim(coalesce(original_riddle, ''))) AS k FROM {pool}),
+first_{name} AS (SELECT family, row_number() OVER (ORDER BY min(ord)) AS f FROM fam_{name} GROUP BY family),
+cand_{name} AS (
+  SELECT ord, f, dense_rank() OVER (ORDER BY k) AS kid, CASE WHEN k = '' THEN 1000000000 ELSE {cap} - coalesce(n, 0) END AS room
+  FROM fam_{name} JOIN first_{name} USING (family) LEFT JOIN {uses} USING (k)),
+queue_{name} AS (
+  SELECT list(o ORDER BY f) AS os, list(q ORDER BY f) AS ks FROM
+  (SELECT f, list(ord ORDER BY ord) AS o, list(kid ORDER BY ord) AS q FROM cand_{name} GROUP BY f)),
+room_{name} AS (SELECT list(room ORDER BY kid) AS room FROM (SELECT DISTINCT kid, room FROM cand_{name})),
+play_{name}(step, f, idle, ptr, room, got) AS (
+  SELECT 0, 1, 0, list_transform(os, lambda x: 1), room, CAST(NULL AS BIGINT) FROM queue_{name}, room_{name}
+  UNION ALL
+  SELECT step + 1, CASE WHEN held AND NOT take THEN f ELSE f % len(os) + 1 END,
+         CASE WHEN take THEN 0 WHEN held THEN idle ELSE idle + 1 END,
+         CASE WHEN held THEN list_transform(ptr, lambda x, j: CASE WHEN j = f THEN x + 1 ELSE x END) ELSE ptr END,
+         CASE WHEN take THEN list_transform(room, lambda x, j: CASE WHEN j = kid THEN x - 1 ELSE x END) ELSE room END,
+         CASE WHEN take THEN os[f][ptr[f]] END
+  FROM (SELECT *, held AND coalesce(room[kid] > 0, FALSE) AS take FROM
+    (SELECT *, ptr[f] <= len(os[f]) AS held, ks[f][ptr[f]] AS kid FROM play_{name}, queue_{name} WHERE idle < len(os)) q) r),
+picked_{name} AS (SELECT got AS ord, row_number() OVER (ORDER BY step) AS pick FROM play_{name} WHERE got IS NOT NULL)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+PENDING = "pend AS (SELECT * FROM fx_pool WHERE NOT coalesce(used_in_set, FALSE))"
+
+
+@check(
+    "e6_round_robin_capped",
+    _recursive(with_views("pool")) + f""",{QUOTA}, {PENDING},{capped_rounds("a", "pend", "uses", 2)}
+SELECT ord, pick FROM picked_a""",
+)
 def e6_round_robin_capped(fx: Fixtures):
     return selection.balanced_order(fx.pool, cap=2, existing=_existing(fx))
 
@@ -850,7 +889,14 @@ def x7_promote_add(fx: Fixtures):
     return added.select("id", "item")
 
 
-@check("x7_promote_add_capped")
+@check(
+    "x7_promote_add_capped",
+    _recursive(with_views("pool", "entries")) + f""", {PENDING},
+sets AS (SELECT lower(trim(original_riddle)) AS k, count(*) AS n FROM fx_entries
+         WHERE trim(original_riddle) <> '' GROUP BY 1),{capped_rounds("a", "pend", "sets", 2)}
+SELECT printf('alt_%04d', (SELECT max(CAST(substr(id, 5) AS BIGINT)) FROM fx_entries) + pick) AS id, 'fixed' AS "set", original_riddle
+FROM picked_a JOIN fx_pool USING (ord) WHERE pick <= 200""",
+)
 def x7_promote_add_capped(fx: Fixtures):
     entries = fx.entries
     added, _ = promotion.promote_add(
@@ -876,7 +922,17 @@ def x8_promote_split(fx: Fixtures):
     return fixed.unionByName(auxiliary).select("id", F.col("set").alias("set_name"), "item")
 
 
-@check("x8_promote_split_capped")
+@check(
+    "x8_promote_split_capped",
+    _recursive(with_views("pool")) + f""", {PENDING},
+none AS (SELECT 'x' AS k, 0 AS n WHERE FALSE),{capped_rounds("a", "pend", "none", promotion.CAP)},
+chosen AS (SELECT ord, pick, original_riddle FROM picked_a JOIN fx_pool USING (ord) WHERE pick <= 60),
+sets AS (SELECT lower(trim(original_riddle)) AS k, count(*) AS n FROM chosen WHERE trim(original_riddle) <> '' GROUP BY 1),
+rest AS (SELECT * FROM pend WHERE ord NOT IN (SELECT ord FROM chosen)),{capped_rounds("b", "rest", "sets", promotion.CAP)}
+SELECT printf('alt_%04d', pick) AS id, 'fixed' AS "set", original_riddle FROM chosen
+UNION ALL SELECT printf('alt_%04d', 60 + pick), 'auxiliary', original_riddle
+FROM picked_b JOIN fx_pool USING (ord) WHERE pick <= 90""",
+)
 def x8_promote_split_capped(fx: Fixtures):
     fixed, auxiliary, _ = promotion.promote_split(fx.pool, 60, 90)
     return fixed.unionByName(auxiliary).select("id", "set", "original_riddle")

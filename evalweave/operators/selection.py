@@ -9,10 +9,6 @@ earlier positions (round, family).
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +19,6 @@ from evalweave.operators.quality import is_used, pending_pool
 from evalweave.operators.resume import representation_counts, with_representation
 from evalweave.session import materialise
 
-# Rows that one task may settle in sequence. A row is four numbers there.
-KERNEL_ROWS = 200_000
-
 
 def with_family(items: DataFrame) -> DataFrame:
     """Add the model family of ``source``; a missing source is unknown."""
@@ -152,136 +145,87 @@ def _candidates(pool: DataFrame, existing: DataFrame | None, cap: int | None) ->
     return free.unionByName(capped)
 
 
-def _settle(stop_at_gap: bool):
-    """Play the rounds over contested rows; runs in one task on at most KERNEL_ROWS rows.
+def _played(rows: DataFrame) -> DataFrame:
+    """Adds ``at``, the round of every contested row if just the rows ``taken`` are selected.
 
-    ``base`` is the number of surely selected rows before the row in its family. Where
-    ``more`` is set, the family has further contested rows that are not here; play stops
-    when such a family runs dry, and what is not settled by then is left for the next block.
+    Running counts are kept per block of 2**16 rows of a family, so no task holds a family.
     """
-
-    def play(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows = rows.sort_values(["family_ord", "ord"], kind="stable")
-        queues, more = {}, {}
-        for fam, part in rows.groupby("family_ord"):
-            queues[fam] = list(zip(part["base"], part["ord"], part["original_key"], part["room"]))
-            more[fam] = bool(part["more"].iloc[0])
-        taken_in: dict[int, int] = dict.fromkeys(queues, 0)
-        used: dict[str, int] = {}
-        heap = [(queue[0][0], fam, 0) for fam, queue in queues.items()]
-        heapq.heapify(heap)
-        settled_ord, settled_taken = [], []
-        while heap:
-            _, fam, i = heapq.heappop(heap)
-            _, ord_, key, room = queues[fam][i]
-            take = used.get(key, 0) < room
-            if take:
-                used[key] = used.get(key, 0) + 1
-                taken_in[fam] += 1
-            settled_ord.append(ord_)
-            settled_taken.append(take)
-            if i + 1 < len(queues[fam]):
-                heapq.heappush(heap, (queues[fam][i + 1][0] + taken_in[fam], fam, i + 1))
-            elif more[fam] and stop_at_gap:
-                break
-        yield pd.DataFrame(
-            {
-                "ord": pd.Series(settled_ord, dtype="int64"),
-                "taken": pd.Series(settled_taken, dtype="bool"),
-            }
-        )
-
-    return play
+    rows = rows.withColumn("_b", F.shiftright(F.col("pos") - 1, 16))
+    one = F.col("taken").cast("long")
+    earlier = (Window.unboundedPreceding, -1)
+    ahead = F.sum("_m").over(Window.partitionBy("family_ord").orderBy("_b").rowsBetween(*earlier))
+    blocks = rows.groupBy("family_ord", "_b").agg(F.sum(one).alias("_m")).withColumn("_ahead", ahead).drop("_m")
+    inside = F.sum(one).over(Window.partitionBy("family_ord", "_b").orderBy("pos").rowsBetween(*earlier))
+    at = F.col("base") + F.coalesce("_ahead", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return (
+        rows.withColumn("_inside", inside)
+        .join(blocks, ["family_ord", "_b"])
+        .withColumn("at", at)
+        .drop("_b", "_inside", "_ahead")
+    )
 
 
-def _contested_decisions(
-    candidates: DataFrame, kernel_rows: int, limit: int | None
-) -> DataFrame | None:
-    """(ord, taken) of contested candidates, settled block by block in play order.
+def _contested_decisions(candidates: DataFrame, limit: int | None) -> DataFrame | None:
+    """(ord, taken) of contested candidates.
 
-    A block takes from every family its next rows, so that it holds at most ``kernel_rows``.
-    Rooms shrink and bases grow by what earlier blocks took. A row with ``limit`` surely
-    taken rows before it in its own family cannot be among the first ``limit`` picks, and
-    nor can any row behind it, so play ends once only such rows are left.
+    Decisions fix the rounds of all rows, and rounds fix the decisions: an original takes its
+    first ``room`` rows in order of round and family. Starting with everything taken, both
+    are worked out in turn until no decision changes. There is one such state only, the one that
+    playing row by row reaches: a row's round hangs on earlier rows of its family, its
+    decision on earlier rows of its original. Each pass settles at least one more row in play
+    order, for its round is right once all earlier decisions are, and no later row can get
+    ahead of it; independent rows settle at once, so a few passes do. A change at round r leaves
+    all rows before r as they are, so with ``limit`` play ends once the first ``limit`` rounds stand.
     """
-    in_reach = F.lit(True) if limit is None else F.col("base") < limit
+    if candidates.where("contested").isEmpty():
+        return None
     ranked = global_rank(
         candidates.where("contested"), "ord", by=["family_ord"], name="pos"
     )
-    if candidates.where("contested").isEmpty():
-        return None
     # Surely selected rows before a contested one: its rank among all minus that among contested.
     everywhere = global_rank(candidates, "ord", by=["family_ord"], name="any_pos").select(
         "ord", "any_pos"
     )
-    open_rows = materialise(
-        ranked.join(everywhere, "ord").select(
-            "ord",
-            "family_ord",
-            "original_key",
-            "room",
-            "pos",
-            (F.col("any_pos") - F.col("pos")).alias("base"),
-        ).where(in_reach),
+    base = F.col("any_pos") - F.col("pos")
+    state = materialise(
+        ranked.join(everywhere, "ord")
+        .select("ord", "family_ord", "original_key", "room", "pos", base.alias("base"), F.lit(True).alias("taken"))
+        .where(F.lit(True) if limit is None else base < limit),
         "contested",
     )
-    families = open_rows.select("family_ord").distinct().count()
-    share = max(1, kernel_rows // max(families, 1))
-    decisions: DataFrame | None = None
-    while not open_rows.isEmpty():
-        start = open_rows.groupBy("family_ord").agg(
-            F.min("pos").alias("_from"), F.max("pos").alias("_to")
-        )
-        block = (
-            open_rows.join(start, "family_ord")
-            .where(F.col("pos") < F.col("_from") + share)
-            .withColumn("more", F.col("_to") >= F.col("_from") + share)
-            .select("ord", "family_ord", "original_key", "room", "base", "more")
-        )
-        settled = materialise(
-            block.coalesce(1).mapInPandas(_settle(True), "ord BIGINT, taken BOOLEAN"), "settled"
-        )
-        decisions = settled if decisions is None else decisions.union(settled)
-        joined = open_rows.join(settled, "ord", "left")
-        won = joined.where("taken")
-        by_original = won.groupBy("original_key").agg(F.count(F.lit(1)).alias("_used"))
-        by_family = won.groupBy("family_ord").agg(F.count(F.lit(1)).alias("_won"))
-        open_rows = materialise(
-            joined.where("taken IS NULL")
-            .drop("taken")
-            .join(by_original, "original_key", "left")
-            .join(by_family, "family_ord", "left")
-            .select(
-                "ord",
-                "family_ord",
-                "original_key",
-                (F.col("room") - F.coalesce("_used", F.lit(0))).alias("room"),
-                "pos",
-                (F.col("base") + F.coalesce("_won", F.lit(0))).alias("base"),
-            ).where(in_reach),
-            "contested",
-        )
-    return decisions
+    turn = Window.partitionBy("original_key").orderBy("at", "family_ord", "pos")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return _played(rows).withColumn("now", F.row_number().over(turn) <= F.col("room"))
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.drop("taken", "at").withColumnRenamed("now", "taken")
+
+    while True:
+        # Two passes are stored at once.
+        last = materialise(judged(settled(judged(state))), "judged")
+        first_change = last.where("taken <> now").agg(F.min("at")).first()[0]
+        state = settled(last)
+        if first_change is None or (limit is not None and first_change >= limit):
+            return state.select("ord", "taken")
 
 
 def balanced_order(
     pool: DataFrame,
     cap: int | None = None,
     existing: DataFrame | None = None,
-    kernel_rows: int = KERNEL_ROWS,
     limit: int | None = None,
 ) -> DataFrame:
     """(ord, pick): every item that the rounds take, numbered in the order they take it.
 
     With ``limit``, only the first ``limit`` picks are sure to be right, and later turns of
-    contested items are not played. Writes intermediate tables to the scratch folder when a cap leads to contested items.
+    contested items are not settled. Writes intermediate tables to the scratch folder when a cap leads to contested items.
     """
     candidates = _candidates(pool, existing, cap)
     taken = candidates
     if cap:
         candidates = materialise(candidates, "candidates")
-        decisions = _contested_decisions(candidates, kernel_rows, limit)
+        decisions = _contested_decisions(candidates, limit)
         taken = candidates
         if decisions is not None:
             taken = candidates.join(decisions, "ord", "left").where("NOT contested OR taken")
@@ -299,7 +243,6 @@ def balanced_pick(
     count: int | DataFrame,
     cap: int | None = None,
     existing: DataFrame | None = None,
-    kernel_rows: int = KERNEL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(selected with ``pick``, pool with the selected items marked as used).
 
@@ -308,7 +251,7 @@ def balanced_pick(
     """
     if isinstance(count, DataFrame):
         count = count.first()["count"]
-    order = balanced_order(pool, cap, existing, kernel_rows, limit=count)
+    order = balanced_order(pool, cap, existing, limit=count)
     chosen = materialise(order.where(F.col("pick") <= count), "picks")
     selected = pool.join(chosen, "ord")
     own = F.nullif("set", F.lit("")) if "set" in pool.columns else F.lit(None).cast("string")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evalweave.functions.text import numbered_id
 from evalweave.operators.ordering import with_constants
 from evalweave.operators.selection import (
-    KERNEL_ROWS,
     balanced_pick,
     max_id_number,
     pool_report,
@@ -57,13 +56,12 @@ def promote_add(
     count: int,
     set_name: str = "auxiliary",
     cap: int | None = CAP,
-    kernel_rows: int = KERNEL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(entries to append, pool after). Ids continue after the largest of both sets."""
     if set_name not in ("fixed", "auxiliary"):
         raise ValueError("set_name must be fixed or auxiliary")
     existing = auxiliary.select("id", "original_riddle").union(fixed.select("id", "original_riddle"))
-    selected, after = balanced_pick(pool, clamp(pool, count), cap, existing, kernel_rows)
+    selected, after = balanced_pick(pool, clamp(pool, count), cap, existing)
     return _entries(selected, set_name, max_id_number(existing)), after
 
 
@@ -72,13 +70,12 @@ def refresh_auxiliary(
     fixed: DataFrame,
     count: int,
     cap: int | None = CAP,
-    kernel_rows: int = KERNEL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(new auxiliary set, pool after). Take a snapshot of the old set before replacing it.
 
     Pool items of the old set stay used, and ids follow the largest fixed one.
     """
-    selected, after = balanced_pick(pool, clamp(pool, count), cap, fixed, kernel_rows)
+    selected, after = balanced_pick(pool, clamp(pool, count), cap, fixed)
     return _entries(selected, "auxiliary", max_id_number(fixed)), after
 
 
@@ -87,19 +84,16 @@ def promote_split(
     n_fixed: int,
     n_auxiliary: int,
     cap: int | None = CAP,
-    kernel_rows: int = KERNEL_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fixed, auxiliary, pool after) in one go; ids start at 1, fixed first.
 
     The auxiliary pick sees the fixed items in its quota.
     """
     sizes = split_sizes(pool, n_fixed, n_auxiliary)
-    first, remaining = balanced_pick(
-        pool, sizes.select(F.col("n_fixed").alias("count")), cap, None, kernel_rows
-    )
+    first, remaining = balanced_pick(pool, sizes.select(F.col("n_fixed").alias("count")), cap, None)
     fixed = _entries(first, "fixed", 0)
     second, after = balanced_pick(
-        remaining, sizes.select(F.col("n_auxiliary").alias("count")), cap, fixed, kernel_rows
+        remaining, sizes.select(F.col("n_auxiliary").alias("count")), cap, fixed
     )
     auxiliary = _entries(second, "auxiliary", max_id_number(fixed))
     return fixed, auxiliary, after

@@ -84,10 +84,9 @@ def play(pool, count, cap, existing):
     return picks
 
 
-@pytest.mark.parametrize("seed, kernel_rows", [(0, 10**6), (1, 8), (2, 25), (3, 1)])
-def test_balanced_pick(spark, seed, kernel_rows):
+@pytest.mark.parametrize("seed, n", [(0, 90), (1, 90), (2, 300), (3, 25)])
+def test_balanced_pick(spark, seed, n):
     rng = random.Random(seed)
-    n = 90 if kernel_rows > 1 else 25
     families = ["gpt-1", "glm", "zz", "qwen"]
     pool = [
         (i * 3, rng.choices(families, [5, 2, 1, 1])[0], rng.choice(["A", "b ", "c", "d", "e", "", "f"]))
@@ -98,13 +97,13 @@ def test_balanced_pick(spark, seed, kernel_rows):
         [(*p, False) for p in pool], "ord BIGINT, source STRING, original_riddle STRING, used_in_set BOOLEAN"
     )
     known = spark.createDataFrame([(e,) for e in existing], "original_riddle STRING")
-    for cap in (2, None) if kernel_rows > 1 else (2,):
-        order = selection.balanced_order(df, cap, known, kernel_rows).orderBy("pick").collect()
+    for cap in (2, None):
+        order = selection.balanced_order(df, cap, known).orderBy("pick").collect()
         got = [r["ord"] for r in order]
         assert got == play(pool, n, cap, existing)
         assert [r["pick"] for r in order] == list(range(1, len(got) + 1))
     for count in (1, 7):
-        chosen, after = selection.balanced_pick(df, count, 2, known, kernel_rows)
+        chosen, after = selection.balanced_pick(df, count, 2, known)
         wanted = play(pool, count, 2, existing)
         assert [r["ord"] for r in chosen.orderBy("pick").collect()] == wanted
         marked = {r["ord"] for r in after.where("used_in_set").collect()}
