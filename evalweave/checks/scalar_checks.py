@@ -13,7 +13,7 @@ from evalweave.functions import text as txt
 from evalweave.operators import quality, resume
 from evalweave.session import scratch_path
 from evalweave.sources.jsonl import append_jsonl
-from evalweave.streaming.incremental import append_arrivals, append_unseen, arriving_jsonl, keyed_once
+from evalweave.streaming.incremental import append_arrivals, append_handled, append_unseen, arriving_jsonl, keyed_once
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 
@@ -225,6 +225,32 @@ def i2_arrival_order_append(fx: Fixtures):
     return fx.spark.read.parquet(target).select(*STREAM_KEY, "answer")
 
 
+def _handled(row) -> dict:
+    """Stands in for a callback: fails on every seventh row."""
+    if row["ord"] % 7 == 0:
+        raise ValueError(f"no answer for {row['ord']}")
+    return {"ord": row["ord"], "size": len(row["run_id"])}
+
+
+@check(
+    "i2_failed_rows",
+    with_views("outputs") + """,
+twice AS (SELECT ord, run_id FROM fx_outputs UNION ALL SELECT ord, run_id FROM fx_outputs WHERE z < 10)
+SELECT ord, CASE WHEN ord % 7 = 0 THEN concat('ValueError: no answer for ', CAST(ord AS VARCHAR)) ELSE '-' END AS error,
+       CASE WHEN ord % 7 = 0 THEN -1 ELSE length(run_id) END AS size FROM twice""",
+)
+def i2_failed_rows(fx: Fixtures):
+    """Failed rows stand beside the good ones; together they are all that arrived."""
+    target, failed = scratch_path(fx.spark, "target"), scratch_path(fx.spark, "failed")
+    stream = arriving_jsonl(fx.spark, _arrivals(fx), STREAM_FIELDS, max_files=2)
+    append_handled(
+        stream, target, failed, scratch_path(fx.spark, "cp"), _handled, "ord BIGINT, size BIGINT"
+    ).awaitTermination()
+    good = fx.spark.read.parquet(target).select("ord", F.lit("-").alias("error"), "size")
+    bad = fx.spark.read.parquet(failed).select("ord", "error", F.lit(-1).cast("long").alias("size"))
+    return good.union(bad)
+
+
 @check(
     "i3_keyed_once",
     with_views("outputs") + "\nSELECT DISTINCT run_id, riddle_id, riddle_type, sample_index FROM fx_outputs",

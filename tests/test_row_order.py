@@ -6,7 +6,7 @@ from evalweave import schemas
 from evalweave.operators.ordering import union_in_order
 from evalweave.plans.runs import build_tasks
 from evalweave.sources.documents import scan_run_partitions
-from evalweave.streaming.incremental import append_unseen
+from evalweave.streaming.incremental import BUCKET, append_handled, append_unseen, stored_keys
 
 
 def test_chained_unions_keep_order(spark):
@@ -49,3 +49,42 @@ def test_malformed_lines_of_run_partitions_are_skipped(spark, tmp_path):
     (folder / "part.json").write_text(good + "\n{broken\n")
     rows = scan_run_partitions(spark, str(tmp_path), schemas.MODEL_OUTPUTS).collect()
     assert [(r["run_id"], r["riddle_id"], r["ord"]) for r in rows] == [("m", "r1", 3)]
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """Redelivered keys count once over many appends, and the plan prunes the other buckets."""
+    (tmp_path / "in").mkdir()
+    target = str(tmp_path / "out")
+    for n in range(3):
+        lines = [json.dumps({"k": k, "n": n}) for k in range(n * 5, n * 5 + 10)]
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
+        stream = spark.readStream.schema("k long, n long").json(str(tmp_path / "in"))
+        append_unseen(stream, target, ["k"], str(tmp_path / "cp"), buckets=16).awaitTermination()
+    rows = spark.read.parquet(target)
+    assert sorted((r["k"], r["n"]) for r in rows.collect()) == [(k, max(0, (k - 5) // 5)) for k in range(20)]
+    used = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
+    one = stored_keys(spark, target, ["k"], used[:1])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({BUCKET}" in plan and "ReadSchema: struct<k:bigint>" in plan
+    assert one.count() == rows.where(rows[BUCKET] == used[0]).count() < 20
+
+
+def test_failing_rows_do_not_end_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        lines = [json.dumps({"k": k if k % 4 else None, "t": "x" * k}) for k in range(n * 10, n * 10 + 10)]
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(lines))
+
+    def handle(row):
+        assert isinstance(row["k"], int) or row["k"] is None
+        return {"k": 100 // (row["k"] % 3), "more": 1}  # fails on NULL and on multiples of 3
+
+    stream = spark.readStream.schema("k long, t string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    paths = [str(tmp_path / p) for p in ("good", "bad", "cp")]
+    append_handled(stream, *paths, handle, "k long, absent string").awaitTermination()
+    good, bad = (spark.read.parquet(p).collect() for p in paths[:2])
+    kept = [k for k in range(30) if k % 4 and k % 3]
+    assert sorted(r["k"] for r in good) == sorted(100 // (k % 3) for k in kept)
+    assert all(r["absent"] is None for r in good) and len(good) + len(bad) == 30
+    assert {r["error"].split(":")[0] for r in bad} == {"TypeError", "ZeroDivisionError"}
+    assert sorted(len(r["t"]) for r in bad) == [k for k in range(30) if k not in kept]
