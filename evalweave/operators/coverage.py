@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.operators.ordering import with_constants
+from evalweave.session import materialise
 
 
 def expected_coverage(entries: DataFrame) -> DataFrame:
@@ -71,20 +72,31 @@ def complete_runs(runs: DataFrame, details: DataFrame, entries: DataFrame) -> Da
 def missing_items(runs: DataFrame, details: DataFrame, entries: DataFrame) -> DataFrame:
     """(run, variant, item) expected but absent, for incomplete runs only.
 
-    Every expected item meets the list of incomplete runs that have it, in one join on the
-    item, and gives a row for each of the others; so only missing ones become rows. A list
-    holds run ids, at most one per incomplete run.
+    Incomplete runs are numbered from 1. Per item the numbers of the runs that have it are sorted, and the
+    gaps between them are the missing runs, so an item's row carries numbers of its own runs
+    only and gives a row per missing one.
     """
     item = ["riddle_type", "riddle_id"]
     report = coverage_report(runs, details, entries)
     short = report.where("missing_altered > 0 OR missing_original > 0").select("run_id").distinct()
-    every = short.agg(F.collect_list("run_id").alias("_every"))
+    # One row per incomplete run.
+    numbered = short.withColumn("_no", F.row_number().over(Window.orderBy("run_id")))
+    numbered = materialise(numbered, "short_runs")
     have = (
         covered(details)
-        .join(short, "run_id", "left_semi")
+        .join(numbered, "run_id")
         .groupBy(*item)
-        .agg(F.collect_list("run_id").alias("_have"))
+        .agg(F.array_sort(F.collect_set("_no")).alias("_have"))
     )
-    wanted = with_constants(expected_coverage(entries), every).join(have, item, "left")
-    absent = F.array_except("_every", F.coalesce("_have", F.array().cast("array<string>")))
-    return wanted.select(F.explode(absent).alias("run_id"), *item)
+    count = numbered.agg(F.count(F.lit(1)).cast("int").alias("_runs"))
+    wanted = with_constants(expected_coverage(entries).join(have, item, "left"), count).where("_runs > 0")
+    ends = F.concat(
+        F.array(F.lit(0)), F.coalesce("_have", F.array().cast("array<int>")), F.array(F.col("_runs") + 1)
+    )
+    gaps = F.zip_with(
+        F.slice(ends, 1, F.size(ends) - 1),
+        F.slice(ends, 2, F.size(ends) - 1),
+        lambda a, b: F.when(b - a > 1, F.sequence(a + 1, b - 1)).otherwise(F.array().cast("array<int>")),
+    )
+    absent = wanted.select(*item, F.explode(F.flatten(gaps)).alias("_no"))
+    return absent.join(numbered, "_no").select("run_id", *item)

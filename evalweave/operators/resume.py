@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.text import pair_key, text_key
@@ -54,16 +55,26 @@ def content_keys(*tables: DataFrame) -> DataFrame:
     return keys.where(F.col("_key").isNotNull()).distinct()
 
 
+def content_digest() -> Column:
+    """SHA-256 of an item's content key, 32 bytes that stand for both texts in joins.
+
+    NULL for an item with an empty side. The key is digested as JSON, which keeps its two sides apart.
+    """
+    return F.unhex(F.sha2(F.to_json(pair_key(*ITEM_SIDES)), 256))
+
+
 def without_content(items: DataFrame, *done: DataFrame) -> DataFrame:
     """Items whose content key occurs in none of ``done``.
 
     An item with an empty side has a NULL key, which matches nothing, so it is kept.
-    Repeats inside ``items`` are kept too.
+    Repeats inside ``items`` are kept too. Of ``done`` only digests are shuffled; an anti join
+    needs no distinct ones, so each is shuffled once.
     """
+    digests = [t.select(content_digest().alias("_digest")).where("_digest IS NOT NULL") for t in done]
     return (
-        items.withColumn("_key", pair_key(*ITEM_SIDES))
-        .join(content_keys(*done), "_key", "left_anti")
-        .drop("_key")
+        items.withColumn("_digest", content_digest())
+        .join(reduce(DataFrame.union, digests), "_digest", "left_anti")
+        .drop("_digest")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.answers import comma_list
-from evalweave.functions.text import pair_key, strip
+from evalweave.functions.text import strip
 from evalweave.operators.ordering import last_wins, union_in_order, with_sequential_id
 from evalweave.operators.quality import (
     is_flagged,
@@ -15,7 +15,7 @@ from evalweave.operators.quality import (
     validated_record,
     with_validation,
 )
-from evalweave.operators.resume import ITEM_SIDES, without_content
+from evalweave.operators.resume import content_digest, without_content
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -61,19 +61,19 @@ def review_route(
     """
     items = review_candidates(validated, pool, human_rejected)
     decided = last_wins(
-        decisions.withColumn("_key", pair_key(*ITEM_SIDES))
-        .where(F.col("_key").isNotNull())
+        decisions.withColumn("_digest", content_digest())
+        .where(F.col("_digest").isNotNull())
         .select(
-            "_key", "ord", "action", "edited_answer", "edited_accepted", "edited_competing",
+            "_digest", "ord", "action", "edited_answer", "edited_accepted", "edited_competing",
             "confirmed",
         ),
-        ["_key"],
+        ["_digest"],
     ).drop("ord")
     flagged = (
         items.where(is_flagged())
-        .withColumn("_key", pair_key(*ITEM_SIDES))
-        .join(decided, "_key", "left")
-        .drop("_key")
+        .withColumn("_digest", content_digest())
+        .join(decided, "_digest", "left")
+        .drop("_digest")
     )
     edit = F.col("action") == "e"
 

@@ -422,3 +422,41 @@ def test_least_represented_with_large_counts(spark, monkeypatch):
     order = [r["riddle_idx"] for r in picks]
     assert order[0] == 3 and set(order[1:3]) == {2, 5} and order[3:5] == [1, 4]
     assert order[5:] == order[:2]
+
+
+def test_content_joins_move_digests_only(spark):
+    """The keys of finished items are shuffled as 32 bytes, never as texts."""
+    from evalweave.operators.resume import without_content
+
+    schema = "ord BIGINT, original_riddle STRING, altered_riddle STRING"
+    items = spark.createDataFrame([(1, "a", "b"), (2, "A ", "b"), (3, "a", ""), (4, "ab", ""), (5, "a\",\"", "b"), (6, "c", "d")], schema)
+    done = spark.createDataFrame([(9, " a", "B"), (9, "c", None), (9, "a", "\",\"b")], schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = without_content(items, done, done)
+        assert sorted(r["ord"] for r in left.collect()) == [3, 4, 5, 6]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(_digest" in plan and "hashpartitioning(_key" not in plan and "Aggregate" not in plan
+
+
+def test_missing_items_of_many_runs(spark):
+    """Gaps between run numbers are the missing runs, at the ends and inside."""
+    from evalweave.operators import coverage
+
+    rng = random.Random(3)
+    ids = [f"i{n}" for n in range(6)]
+    entries = spark.createDataFrame([(i, "fixed", 1) for i in ids], "id STRING, set_name STRING, ord BIGINT")
+    held = {f"r{n}": set(rng.sample(ids, rng.randrange(0, 7))) for n in range(40)}
+    numbers = spark.createDataFrame([(r,) for r in held], "run_id STRING")
+    short = [(r, i) for r, got in held.items() if len(got) < 6 for i in ids if i not in got]
+    details = spark.createDataFrame([(r, "altered", i) for r, got in held.items() for i in got], "run_id STRING, riddle_type STRING, riddle_id STRING")
+    report = numbers.withColumn("missing_altered", coverage.F.lit(1)).withColumn("missing_original", coverage.F.lit(0))
+    full = [r for r, got in held.items() if len(got) == 6]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(coverage, "coverage_report", lambda *_: report.where(~coverage.F.col("run_id").isin(full)) if full else report)
+        patch.setattr(coverage, "covered", lambda d: d)
+        patch.setattr(coverage, "expected_coverage", lambda e: e.selectExpr("'altered' AS riddle_type", "id AS riddle_id"))
+        found = coverage.missing_items(numbers, details, entries).collect()
+    assert sorted((r["run_id"], r["riddle_id"]) for r in found) == sorted(short)
