@@ -318,12 +318,61 @@ def test_small_strata_get_joint_cutoffs(spark):
     known = spark.createDataFrame([(t[0], int(t[0] % 1000 != 900)) for t in texts], "doc_id long, quality int")
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.risk_controlled_rules(docs, known).collect()}
     assert {d for d, k in kept.items() if not k} == {900, 1900, 2900, 3900}
-    # 217 good labels without a rejection suffice for a quarter of the error, 216 do not.
-    one = lambda n: quality_rules.joint_cutoffs(np.array([[2]]), np.array([n]), np.array([False]), [2], 0.02, 0.0125)
+    # A single rule has the whole error: 217 good labels without a rejection suffice, 216 do not.
+    one = lambda n: quality_rules.joint_cutoffs(np.array([[2]]), np.array([n]), [2], 0.02, 0.0125)
     assert one(217) == [1] and one(216) == [None]
-    # A rule that rejects everything does not end the walk where labels suffice for a pilot.
-    firsts, counts, pilot = np.array([[0, 3], [0, 3]]), np.array([400, 100]), np.array([False, True])
-    assert quality_rules.joint_cutoffs(firsts, counts, pilot, [3, 3], 0.02, 0.0125) == [None, 2]
+    # A rule that rejects everything ends the walk with all rules, not the one without it; the
+    # procedure is the same at every size, so more labels never lose a cutoff.
+    found = [quality_rules.joint_cutoffs(np.array([[0, 3]]), np.array([n]), [3, 3], 0.02, 0.0125) for n in range(200, 500)]
+    least = quality_rules.labels_needed(0.02, 0.0125 / 4)
+    assert found == [[None, 2 if n >= least else None] for n in range(200, 500)]
+    walks = quality_rules.walks_of(5, 0.0125)
+    assert sum(share for _, share in walks) == pytest.approx(0.0125) and len(walks) == 6
+    assert [quality_rules.labels_needed(0.02, share) for _, share in walks[:2]] == [252, 331]
+
+
+def test_verdicts_against_brute_force(spark):
+    """Cutoffs by the definition over plain rows, repeated rows counted once."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(1500):
+        words_ = [f"w{rng.randrange(600)}" for _ in range(rng.randrange(40, 90))]
+        words_ += ["#"] * rng.choice((0, 0, 0, 0, 0, 8, 60))
+        rows.append((i, " ".join(words_), "ab"[i % 2]))
+    rows += [rows[5]] * 50
+    good = {i: int(rows[i][1].count("#") < 9 or i % 300 == 0) for i in range(1500)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.risk_controlled_rules(docs, known).collect()}
+
+    def statistics(text):
+        n, chars, symbols, lines, repeats = quality_rules.rule_counts(text.encode())
+        values = (symbols / n, repeats / n, lines / n, chars / n, -chars / n)
+        return n < 50 or 100 * repeats > 50 * n, values
+
+    want = {}
+    for lang in "ab":
+        own = {i: statistics(t) for i, t, x in rows if x == lang}
+        held = [v for i, (base, v) in own.items() if good[i] and not base]
+        best, most, spare = None, 0, 0.0
+        for use, share in quality_rules.walks_of(5, 0.05 / 2):
+            reached = None
+            for level in range(8):
+                cut = {
+                    r: quality_rules.RULES[r].cutoffs[level * (len(quality_rules.RULES[r].cutoffs) - 1) // 7] for r in use
+                }
+                lost = sum(any(v[r] > c for r, c in cut.items()) for v in held)
+                if sum(math.comb(len(held), k) * 0.02**k * 0.98 ** (len(held) - k) for k in range(lost + 1)) > share + spare:
+                    break
+                reached = (level, cut)
+            spare = share + spare if reached and reached[0] == 7 else 0.0
+            if reached:
+                strict = sum(quality_rules.RULES[r].cutoffs.index(c) + 1 for r, c in reached[1].items())
+                if strict > most:
+                    best, most = reached[1], strict
+        for i, (base, v) in own.items():
+            want[i] = not base and not any(v[r] > c for r, c in (best or {}).items())
+    assert got == want and 0 < sum(want.values()) < 1500
 
 
 def test_codewords_differ():
