@@ -9,8 +9,7 @@ prefixes are joined, on the word. Length filter: a block with fewer template wor
 need is dropped. Positional filter: after the words at places p and q of the two ordered
 lists, no more than the shorter rest can still match. Survivors are verified, and must hold the
 template's telling words, without which a notice of a neighbouring license would meet it. Blocks
-are at least twice as long as the longest template. The SQL knows no telling words: it
-gives the same wherever they stand, and more labels elsewhere.
+are at least twice as long as the longest template. The SQL demands the same of every pair of a block and a template.
 
 A phrase table gives the base labels, wherever a phrase's words stand consecutively.
 
@@ -248,15 +247,17 @@ def license_scan(
 def oracle(threshold: float = 0.8, block_words: int = 64) -> str:
     """The same by comparing every block with every template."""
     chosen = ", ".join(
-        f"('{label}', {template_words(text)})" for label, text in TEMPLATES
+        f"('{label}', {template_words(text)}, {[f' {t} ' for t in TELLING.get(text, ())] or [' ']})"
+        for label, text in TEMPLATES
     )
+    block_words = max(block_words, 2 * max(_length(text) for _, text in TEMPLATES))
     phrases = ", ".join(f"('{p}', {p.split()}, '{label}')" for p, label in PHRASES)
     return f"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split(regexp_replace(
       translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_GAPS}', ' ', 'g'), ' '),
       lambda x: x <> '') AS w FROM documents
-), templates(label, t) AS (VALUES {chosen}), phrases(phrase, p, label) AS (VALUES {phrases}),
+), templates(label, t, telling) AS (VALUES {chosen}), phrases(phrase, p, label) AS (VALUES {phrases}),
 places AS (
   SELECT doc_id, i, p, label FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM words) JOIN phrases
   ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
@@ -264,10 +265,12 @@ places AS (
   SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1
 ), blocks AS (
+  SELECT doc_id, b, concat(' ', array_to_string(b, ' '), ' ') AS s FROM (
   SELECT doc_id, w[o + 1 : o + {block_words}] AS b
-  FROM (SELECT doc_id, w, unnest(range(0, len(w), {block_words // 2})) AS o FROM words)
+  FROM (SELECT doc_id, w, unnest(range(0, len(w), {block_words // 2})) AS o FROM words))
 ), shared AS (
   SELECT doc_id, label, len(list_intersect(t, b)) AS n, len(t) AS m FROM blocks, templates
+  WHERE len(list_filter(telling, lambda x: NOT contains(s, x))) = 0
 ), found AS (
   SELECT doc_id, label, max(n / m) AS s FROM shared WHERE n >= ceil({threshold} * m - 1e-9) GROUP BY 1, 2
 ), best AS (SELECT doc_id, max(s) AS s FROM found GROUP BY 1), every AS (

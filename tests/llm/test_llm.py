@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -304,6 +305,16 @@ def test_neighbouring_licenses_are_told_apart(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")
     found = {r["doc_id"]: r["labels"] for r in licenses.license_scan(df).collect()}
     assert found == {i: label for i, (_, label) in enumerate(notices)}
+    # The SQL holds the whole definition: the same on neighbouring notices, also in longer texts.
+    rows = [(i, t if i % 2 else "filler " * (i % 70) + t + " more" * 90) for i, (t, _) in enumerate(notices)]
+    documents = pd.DataFrame([*rows, (900, None), (901, notices[-1][0] + " " + notices[-2][0])], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    result = con.execute(licenses.oracle())
+    names = [c[0] for c in result.description]
+    want = sorted(map(str, result.fetchall()))
+    same = licenses.license_scan(spark.createDataFrame(documents.astype(object).where(documents.notna(), None).values.tolist(), "doc_id long, text string"))
+    assert sorted(str(tuple(r[n] for n in names)) for r in same.collect()) == want
     # A template longer than a block of 64 words is still found.
     long = " ".join(f"term{i}" for i in range(150))
     df = spark.createDataFrame([(1, "x " * 40 + long)], "doc_id long, text string")
