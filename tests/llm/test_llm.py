@@ -136,19 +136,67 @@ def test_leak_after_a_question_without_its_answer():
     assert found(answer, filler[:1000], question) == {}
 
 
-def test_block_maxima_lose_no_part():
+@pytest.mark.parametrize("least", [0.25, 0.6])
+def test_wand_finds_what_all_pairs_find(least):
     rng = random.Random(3)
     vocabulary = [f"w{i}".encode() for i in range(60)]
-    parts = [(k, rng.choices(vocabulary, k=rng.randint(3, 20))) for k in range(40)]
+    parts = [(k, rng.choices(vocabulary, k=rng.randint(3, 20))) for k in range(90)]
+    parts += [(90, parts[7][1]), (91, [b"alone"])]
     frequency = Counter(w for _, p in parts for w in set(p))
-    index = decontaminate.build_index([(k, "", None, None) for k, _ in parts], parts, frequency, 40, 11.0)
-    stream = rng.choices(vocabulary, k=400) + parts[7][1] + rng.choices(vocabulary, k=50)
-    ids = np.array([index.terms.get(w, 0) for w in stream])
-    hit = {(int(a), int(b)) for a, b in zip(*index.block_hits(ids, 32, 8, 0.6), strict=True)}
-    for at in range(0, len(ids) - 32 + 8, 8):
-        for block in range(10):
-            best = index.part_scores(ids[at : at + 32], block).max()
-            assert best < 0.6 - 1e-6 or (at, block) in hit
+    index = decontaminate.build_index([(k, "", None, None) for k, _ in parts], parts, frequency, 92, 11.0)
+    stream = rng.choices(vocabulary, k=400) + parts[7][1] + [b"none"] * 40 + [b"alone"]
+    ids = np.array([index.terms.get(w, 0) for w in stream], np.int32)
+    begin, terms = decontaminate.passages_of(ids, 32, 8)
+    expected = {}
+    for at in begin:
+        held = set(stream[at : at + 32])
+        for k, words_ in parts:
+            norm = 1.2 * (0.25 + 0.75 * len(words_) / 11.0)
+            weight = {
+                w: math.log1p((92 - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * 2.2 / (tf + norm)
+                for w, tf in Counter(words_).items()
+            }
+            score = sum(x for w, x in weight.items() if w in held) / sum(weight.values())
+            if score >= least:
+                expected[int(at), k] = score
+    rows, which, scores = index.hits(terms, least)
+    found = {(int(begin[r]), int(p)): float(x) for r, p, x in zip(rows, which, scores, strict=True)}
+    assert len(found) == len(rows) and found.keys() == expected.keys() and len(found) > 20
+    assert all(abs(found[k] - expected[k]) < 1e-8 for k in found)
+
+
+def test_documents_read_together_or_alone_give_the_same_leaks(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(30)]
+    parts = [(k, p) for k, t in enumerate(texts) for p in decontaminate.parts_of(words(t))]
+    frequency = Counter(w for _, p in parts for w in set(p))
+    index = decontaminate.build_index([(str(k), t, None, None) for k, t in enumerate(texts)], parts, frequency, len(parts), 40.0)
+    docs = [b"", b"nothing known"] + [" ".join(rng.choices(texts, k=rng.randint(1, 90))).encode() for _ in range(40)]
+    alone = [decontaminate.leaks_in(d, index, 96, 32, 0.5, 0.5) for d in docs]
+    assert sum(map(bool, alone)) == 40
+    for batch in (1, 50, 1 << 13):
+        monkeypatch.setattr(decontaminate, "_BATCH", batch)
+        assert list(decontaminate.leaks_of(docs, index, 96, 32, 0.5, 0.5)) == alone
+
+
+def test_item_ids_of_any_type_and_shards(spark, docs):
+    held = [("q1", "a b c. d e f"), (None, LONG[:700]), ("q1", None), (" q1", "a b c. d e f")]
+    items = spark.createDataFrame(held, "item_id string, text string")
+    found = decontaminate.find_leaks(docs, items)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert "MapInPandas" in plan_of(found) and plan_of(found).count("MapInPandas") == 1
+    whole = sorted(found.collect(), key=str)
+    pairs = {(r["doc_id"], r["item_id"]) for r in whole}
+    assert pairs >= {(4, "q1"), (4, " q1"), (5, "q1"), (10, None), (11, None)}
+    many = spark.range(1200).selectExpr("id item_id", "concat('t', id, ' u', id, ' v', id % 7, '. z', id) text")
+    plan = plan_of(decontaminate.find_leaks(docs, many))
+    assert plan.count("MapInPandas") == 1
+    indexes = list(decontaminate.item_indexes(many, shard_parts=300))
+    assert len(indexes) == 4 and sum(len(i.owner) for i in indexes) == 1200
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_language_model_base_and_gain(spark):
