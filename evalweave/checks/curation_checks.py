@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from evalweave import schemas
 from evalweave.checks.fixtures import Fixtures, with_views
 from evalweave.checks.metric_checks import mean, r4
 from evalweave.checks.registry import check, joined, text
@@ -14,6 +15,9 @@ from evalweave.operators import duplicates, metrics, ordering, quality, resume,
 from evalweave.operators.components import connected_components
 from evalweave.operators.scoring import score_prompts
 from evalweave.plans import generation, promotion, sanity, validation
+from evalweave.session import scratch_path
+from evalweave.sources import documents
+from evalweave.sources.jsonl import struct_of
 
 # ── sanity check ──────────────────────────────────────────────────────
 
@@ -146,6 +150,38 @@ def x1_sanity_report(fx: Fixtures):
     )
 
 
+@check(
+    "x1_sanity_document",
+    with_views("sanity_answers") + f""",{VERDICTS},{ITEMS},
+solvers AS (SELECT solver, count(*) FILTER (correct) AS correct, count(*) AS total,
+                   {r4('count(*) FILTER (correct) / count(*)')} AS accuracy FROM result GROUP BY solver)
+SELECT 'solver' AS part, solver AS name, accuracy, concat(correct, '/', total) AS detail FROM solvers
+UNION ALL SELECT 'item', CAST(riddle_idx AS VARCHAR), mean_accuracy,
+       concat_ws('|', riddle, expected_answer, CAST(models_evaluated AS VARCHAR), models_correct) FROM items
+UNION ALL SELECT 'mean', 'acme/judge', {r4(mean('accuracy'))}, '' FROM solvers""",
+)
+def x1_sanity_document(fx: Fixtures):
+    """The report as stored documents of 30 items, read again: judge, models, mean and items."""
+    path = scratch_path(fx.spark, "sanity_documents")
+    report = sanity.sanity_report(*sanity_inputs(fx), judge="acme/judge")
+    documents.write_documents(sanity.sanity_documents(report, max_items=30), path)
+    heads = fx.spark.read.schema(struct_of(schemas.SANITY_RESULTS)).json(path).select(
+        "judge", "models", "mean_accuracy"
+    ).distinct()
+    models = heads.select(F.inline("models")).select(
+        F.lit("solver").alias("part"), F.col("solver").alias("name"), "accuracy",
+        F.concat_ws("/", "correct", "total").alias("detail"),
+    )
+    items = documents.scan_sanity_results(fx.spark, path).select(
+        F.lit("item"), F.col("riddle_idx").cast("string"), "mean_accuracy",
+        F.concat_ws(
+            "|", "riddle", "expected_answer", F.col("models_evaluated").cast("string"),
+            F.array_join("models_correct", "|"),
+        ),
+    )
+    return models.union(items).union(heads.select(F.lit("mean"), "judge", "mean_accuracy", F.lit("")))
+
+
 # ── generation ────────────────────────────────────────────────────────
 
 
@@ -966,6 +1002,59 @@ def d18_stage_counters(fx: Fixtures):
     return fx.spark.createDataFrame(sorted(counts.items()), "stage STRING, n BIGINT")
 
 
+def _stored(fx: Fixtures, tables: list[DataFrame], seen: list[Observation]) -> DataFrame:
+    """Use every table once, then give the observed counters as rows."""
+    for table in tables:
+        table.write.format("noop").mode("overwrite").save()
+    counts = [pair for o in seen for pair in o.get.items()]
+    return fx.spark.createDataFrame(sorted(counts), "stage STRING, n BIGINT")
+
+
+@check(
+    "d18_validation_counters",
+    "WITH " + ROUTED + """
+SELECT 'passed' AS stage, count(*) FILTER (doc_id % 3 <> 0) AS n FROM routed
+UNION ALL SELECT 'failed', count(*) FILTER (doc_id % 3 = 0) FROM routed""",
+)
+def d18_validation_counters(fx: Fixtures):
+    seen = Observation("passed"), Observation("failed")
+    raw = _raw_items(fx)
+    routed = validation.route_validated(
+        raw, _validator_replies(fx), _known(raw, 0), _known(raw, 1), seen
+    )
+    return _stored(fx, list(routed), list(seen))
+
+
+@check(
+    "d18_duplicate_counters",
+    with_views("validated") + f""",{EQUAL},
+firsts AS (SELECT count(DISTINCT CASE WHEN t = '' THEN CAST(ord AS VARCHAR) ELSE concat('t', t) END) AS k, count(*) AS n FROM grp)
+SELECT 'total' AS stage, n FROM firsts UNION ALL SELECT 'retained', k FROM firsts UNION ALL SELECT 'duplicates', n - k FROM firsts""",
+)
+def d18_duplicate_counters(fx: Fixtures):
+    seen = Observation("duplicates")
+    marked = duplicates.mark_duplicates(_dedup_rows(fx), threshold=2.0, observation=seen)
+    return _stored(fx, [marked], [seen])
+
+
+@check(
+    "d18_promotion_counters",
+    with_views("pool") + f""",{ROUNDS},
+moved AS (SELECT count(*) AS n FROM picked WHERE pick <= 150),
+before AS (SELECT count(*) FILTER (used_in_set) AS used, count(*) AS n FROM fx_pool)
+SELECT 'promoted' AS stage, n FROM moved
+UNION ALL SELECT 'used', used + moved.n FROM before, moved
+UNION ALL SELECT 'pending', before.n - used - moved.n FROM before, moved""",
+)
+def d18_promotion_counters(fx: Fixtures):
+    entries = fx.entries
+    added, after = promotion.promote_add(
+        fx.pool, entries.where("set_name = 'auxiliary'"), entries.where("set_name = 'fixed'"), 150, cap=None
+    )
+    seen = Observation("promoted"), Observation("pool")
+    return _stored(fx, list(promotion.observed_promotion(added, after, seen)), list(seen))
+
+
 # ── scoring ───────────────────────────────────────────────────────────
 
 

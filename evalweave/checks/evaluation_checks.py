@@ -22,6 +22,8 @@ from evalweave.checks.source_checks import evaluation_of, stored_evaluations
 from evalweave.operators import metrics, quality, resume
 from evalweave.operators.ordering import union_in_order
 from evalweave.plans import evaluation, runs
+from evalweave.session import scratch_path
+from evalweave.sources import documents
 
 # ── tasks ─────────────────────────────────────────────────────────────
 
@@ -610,17 +612,62 @@ def x15_type_cells(fx: Fixtures):
     )
 
 
+def _digits(value: str, digits: int = 1) -> str:
+    return f"format('{{:.{digits}f}}', {value})"
+
+
+def _percent(value: str) -> str:
+    return f"concat({_digits(f'CAST({value} AS DOUBLE) * 100')}, '%')"
+
+
 @check(
-    "b17_display_columns",
-    BOARD_ALL + """
+    "x15_type_document",
+    with_views("outputs", "judgments", "entries") + f""",{LATEST},{ITEM},{CELLS},{LAST_OF_KEY},
+shown AS (SELECT type, model_key, {r4('cor')} AS cor, {r4('acc')} AS acc, split_part(model_key, '|', 1) AS model,
+                 run_id IN ('run_3', 'run_4', 'run_5') AS reasoning FROM cells JOIN kept USING (run_id)),
+rolled AS (SELECT type, {r4(mean('cor'))} AS mean_cor, {r4(mean('acc'))} AS mean_alt_acc FROM shown GROUP BY type)
+SELECT '2024-01-01T00:00:00Z' AS generated_at, type, coalesce(mean_cor, -1) AS mean_cor, coalesce(mean_alt_acc, -1) AS mean_alt_acc,
+       n_riddles, model_key, model, CAST(reasoning AS VARCHAR) AS reasoning_enabled,
+       CASE WHEN reasoning THEN 'high' ELSE '-' END AS reasoning_effort, coalesce(cor, -1) AS cor, coalesce(acc, -1) AS alt_acc
+FROM shown JOIN rolled USING (type) JOIN (SELECT type, count(*) AS n_riddles FROM fx_entries GROUP BY type) c USING (type)""",
+)
+def x15_type_document(fx: Fixtures):
+    """The type document, written and read again, one row per type and model."""
+    types, cells = evaluation.type_stats(evaluation_of(fx), fx.entries)
+    path = scratch_path(fx.spark, "types")
+    utc = F.from_utc_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.current_timezone())
+    documents.write_document(evaluation.type_document(types, cells, utc), path)
+    stored = documents.scan_type_document(fx.spark, path)
+    rows = stored.select("*", F.explode("per_model").alias("model_key", "m")).drop("per_model")
+    none = F.lit(-1.0)
+    return rows.select(
+        "generated_at", "type", F.coalesce("mean_cor", none).alias("mean_cor"),
+        F.coalesce("mean_alt_acc", none).alias("mean_alt_acc"), "n_riddles", "model_key", "m.model",
+        text("m.reasoning_enabled", "reasoning_enabled"),
+        F.coalesce("m.reasoning_effort", F.lit("-")).alias("reasoning_effort"),
+        F.coalesce("m.cor", none).alias("cor"), F.coalesce("m.alt_acc", none).alias("alt_acc"),
+    )
+
+
+DISPLAYED = f""", rates AS (
+  SELECT run_id, {r4("count(*) FILTER (riddle_type = 'original' AND correct) / count(*) FILTER (riddle_type = 'original')")} AS original_rate,
+         {r4("count(*) FILTER (riddle_type = 'altered' AND gave_original_answer) / count(*) FILTER (riddle_type = 'altered')")} AS pattern_rate
+  FROM rep GROUP BY run_id)
 SELECT row_number() OVER (ORDER BY cor, altered_accuracy DESC, run_ord) AS rank,
+       concat('[', rank_best, '–', rank_worst, ']') AS rank_spread, concat('org/model-', CAST(substr(run_id, 5) AS INT) % 4) AS model,
        CASE WHEN run_id IN ('run_3', 'run_4', 'run_5') THEN 'on' ELSE 'off' END AS reasoning,
-       CASE WHEN run_id IN ('run_3', 'run_4', 'run_5') THEN 'high' ELSE '-' END AS effort
-FROM board JOIN tokens USING (run_id)""",
-)
+       CASE WHEN run_id IN ('run_3', 'run_4', 'run_5') THEN 'high' ELSE '-' END AS effort,
+       {_percent('original_rate')} AS original_accuracy, {_percent('altered_accuracy')} AS altered_accuracy,
+       {_percent('cor')} AS conditioned_override, concat('+/-', {_percent(r4('(o.hi - o.lo) / 2'))}) AS ci95,
+       {_percent('pattern_rate')} AS override_rate, {_digits('CAST(tout AS DOUBLE) / samples')} AS tokens_per_riddle,
+       {_digits('avg_samples', 2)} AS samples_per_riddle
+FROM board JOIN tokens USING (run_id) JOIN rates USING (run_id) JOIN spread USING (run_id)
+JOIN bounds_override o ON o.gkey = {_metric_key('override')}"""
+
+
+@check("b17_display_columns", LEADERBOARD[: LEADERBOARD.rindex("SELECT row_number()")] + DISPLAYED)
 def b17_display_columns(fx: Fixtures):
-    board = evaluation.leaderboard(evaluation_of(fx), fx.entries)
-    return quality.display_columns(board).select("rank", "reasoning", "effort")
+    return quality.display_columns(evaluation.leaderboard(evaluation_of(fx), fx.entries))
 
 
 @check(

@@ -190,17 +190,12 @@ def a6_scan_evaluations(fx: Fixtures):
 SELECT riddle_idx, count(DISTINCT solver) AS models_evaluated FROM fx_sanity_answers GROUP BY riddle_idx""",
 )
 def a7_scan_sanity_results(fx: Fixtures):
-    """One report document; it holds one entry per source item (100 in the given events)."""
+    """One report document, written and read again."""
     from evalweave.checks.curation_checks import sanity_inputs
-    from evalweave.plans.sanity import sanity_items
+    from evalweave.plans.sanity import sanity_documents, sanity_report
 
-    items = sanity_items(*sanity_inputs(fx))
-    fields = F.struct(
-        "riddle_idx", "riddle", "expected_answer", "mean_accuracy", "models_evaluated",
-        "models_correct",
-    )
     path = scratch_path(fx.spark, "sanity")
-    documents.write_document(items.agg(F.array_sort(F.collect_list(fields)).alias("per_riddle")), path)
+    documents.write_document(sanity_documents(sanity_report(*sanity_inputs(fx))).drop("part"), path)
     return documents.scan_sanity_results(fx.spark, path).select("riddle_idx", "models_evaluated")
 
 

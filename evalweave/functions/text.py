@@ -162,8 +162,22 @@ def plus_minus(c: Column | str) -> Column:
 
 
 def fixed_digits(c: Column, digits: int) -> Column:
-    """Display rounding; half-even on the shortest decimal form."""
-    return F.bround(c, digits)
+    """Display rounding, ties decided by the exact binary value.
+
+    Only a value whose shortest decimal form is a tie can be one. It is compared with the tie
+    ``(2 f + 1) / (2 * 10**digits)`` without loss: its part above 2**-20 and the rest are
+    multiplied and subtracted exactly, and a sum of two doubles has the sign of the exact one.
+    Values outside [2**-15, 2**33) keep the shortest form's half-even rule.
+    """
+    x = c.cast("double")
+    scale = 10**digits
+    shortest = x.cast("decimal(38,18)") * scale
+    below = F.floor(shortest).cast("long")
+    is_tie = (x >= 2.0**-15) & (x < 2.0**33) & (shortest - below == F.lit(0.5).cast("decimal(2,1)"))
+    high = F.floor(x * 2.0**20) / F.lit(2.0**20)
+    side = (high * F.lit(2.0 * scale) - (below * 2 + 1)) + (x - high) * F.lit(2.0 * scale)
+    up = F.when(side > 0, 1).when(side < 0, 0).otherwise(below % 2)
+    return F.when(is_tie, (below + up) / F.lit(float(scale))).otherwise(F.bround(x, digits))
 
 
 def round4(c: Column | str) -> Column:

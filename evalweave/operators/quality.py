@@ -16,7 +16,7 @@ from evalweave.functions.parsing import (
     parsed_answer,
     strip_fences,
 )
-from evalweave.functions.text import percent, plus_minus, record_time
+from evalweave.functions.text import fixed_digits, percent, plus_minus, record_time
 from evalweave.schemas import QUALITY_FLAGS, RELEASE_COLUMNS
 
 
@@ -230,9 +230,9 @@ def display_columns(board: DataFrame) -> DataFrame:
         plus_minus(F.coalesce("conditioned_override_ci95", F.lit(0.0))).alias("ci95"),
         percent("pattern_override_rate").alias("override_rate"),
         F.format_string(
-            "%.1f", F.coalesce("avg_output_tokens_per_riddle", F.lit(0.0))
+            "%.1f", fixed_digits(F.coalesce("avg_output_tokens_per_riddle", F.lit(0.0)), 1)
         ).alias("tokens_per_riddle"),
         F.format_string(
-            "%.2f", F.coalesce("avg_samples_per_riddle", F.lit(0.0))
+            "%.2f", fixed_digits(F.coalesce("avg_samples_per_riddle", F.lit(0.0)), 2)
         ).alias("samples_per_riddle"),
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.answers import judge_targets
 from evalweave.functions.prompts import as_json, render
-from evalweave.functions.text import model_key
+from evalweave.functions.text import model_key, report_time
 from evalweave.operators import bootstrap, metrics
 from evalweave.operators.coverage import complete_runs
 from evalweave.operators.ordering import global_rank, last_wins
@@ -253,20 +253,34 @@ def type_stats(evaluation: Evaluation, entries: DataFrame) -> tuple[DataFrame, D
     return metrics.type_rollup(cells, metrics.items_by_type(entries)), cells
 
 
-def type_document(types: DataFrame, cells: DataFrame) -> DataFrame:
-    """Types with a ``per_model`` map; one entry per run, so a small collection."""
+def type_document(types: DataFrame, cells: DataFrame, at: Column | None = None) -> DataFrame:
+    """One row (generated_at, types): known types in report order, each with a map ``per_model``.
+
+    Small by nature: one entry per type and run. ``at`` is the time of the report, now by default.
+    """
+    shown = F.struct(
+        "model",
+        F.coalesce("reasoning_enabled", F.lit(False)).alias("reasoning_enabled"),
+        "reasoning_effort",
+        "cor",
+        "alt_acc",
+    )
     per_model = cells.groupBy("type").agg(
         F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "model_key",
-                        F.struct(
-                            "model", "reasoning_enabled", "reasoning_effort", "cor", "alt_acc"
-                        ).alias("value"),
-                    )
-                )
-            )
+            F.array_sort(F.collect_list(F.struct("model_key", shown.alias("value"))))
         ).alias("per_model")
     )
-    return types.join(per_model, "type")
+    # A map has no order, so the array is sorted by place and type alone.
+    listed = F.collect_list(
+        F.struct(
+            metrics.type_order().alias("place"),
+            F.struct("type", "mean_cor", "mean_alt_acc", "n_riddles", "per_model").alias("type"),
+        )
+    )
+    in_order = F.array_sort(
+        listed, lambda a, b: (a["place"] - b["place"]).cast("int")
+    )
+    return types.join(per_model, "type").agg(
+        report_time(at).alias("generated_at"),
+        F.transform(in_order, lambda x: x["type"]).alias("types"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evalweave.functions.text import numbered_id
@@ -12,6 +12,7 @@ from evalweave.operators.selection import (
     max_id_number,
     pool_report,
 )
+from evalweave.sources.documents import snapshot
 
 CAP = 3
 
@@ -70,11 +71,20 @@ def refresh_auxiliary(
     fixed: DataFrame,
     count: int,
     cap: int | None = CAP,
+    old: DataFrame | None = None,
+    folder: str | None = None,
+    stamp: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(new auxiliary set, pool after). Take a snapshot of the old set before replacing it.
+    """(new auxiliary set, pool after).
 
-    Pool items of the old set stay used, and ids follow the largest fixed one.
+    Pool items of the old set stay used, and ids follow the largest fixed one. With ``old``,
+    the set about to be replaced, its snapshot ``<folder>/benchmark_<stamp>`` is stored before
+    anything is picked; a snapshot that exists already fails the refresh.
     """
+    if old is not None:
+        if folder is None or stamp is None:
+            raise ValueError("a snapshot needs folder and stamp")
+        snapshot(old, folder, stamp)
     selected, after = balanced_pick(pool, clamp(pool, count), cap, fixed)
     return _entries(selected, "auxiliary", max_id_number(fixed)), after
 
@@ -103,6 +113,18 @@ def pool_status(auxiliary: DataFrame, fixed: DataFrame, pool: DataFrame) -> Data
     return pool_report(auxiliary, fixed, pool)
 
 
+def observed_promotion(
+    entries: DataFrame, after: DataFrame, observations: tuple[Observation, Observation]
+) -> tuple[DataFrame, DataFrame]:
+    """The same tables; when they are stored, the first observation receives ``promoted``, the
+    second ``pending`` and ``used``. No second pass."""
+    used = F.coalesce("used_in_set", F.lit(False))
+    return (
+        entries.observe(observations[0], F.count(F.lit(1)).alias("promoted")),
+        after.observe(observations[1], F.count_if(~used).alias("pending"), F.count_if(used).alias("used")),
+    )
+
+
 def promotion_counts(after: DataFrame, entries: DataFrame) -> DataFrame:
     """One row: promoted, pending and used."""
     promoted = entries.agg(F.count(F.lit(1)).alias("promoted"))

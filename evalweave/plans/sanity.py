@@ -44,6 +44,26 @@ def sanity_items(answers: DataFrame, judgments: DataFrame) -> DataFrame:
     return item_metadata(answers).join(metrics.sanity_item_accuracy(results), "riddle_idx")
 
 
+def sanity_documents(report: dict[str, DataFrame], max_items: int = 100_000) -> DataFrame:
+    """The report as documents: judge, models in order of their names, mean accuracy and items.
+
+    Each document holds ``max_items`` numbers of items at most and repeats the (few) models; column
+    ``part`` tells them apart. Small checks are one document. ``write_documents`` stores
+    them, and ``scan_sanity_results`` reads the items of one document or a folder of them.
+    Without items there is no document.
+    """
+    item = F.struct(
+        "riddle_idx", "riddle", "expected_answer", "mean_accuracy", "models_evaluated", "models_correct"
+    )
+    part = F.floor(F.col("riddle_idx") / max_items).cast("long").alias("part")
+    blocks = report["items"].groupBy(part).agg(F.array_sort(F.collect_list(item)).alias("per_riddle"))
+    models = report["solvers"].agg(
+        F.array_sort(F.collect_list(F.struct("solver", "correct", "total", "accuracy"))).alias("models")
+    )
+    head = with_constants(models, report["overall"].select("judge", "mean_accuracy"))
+    return with_constants(blocks, head).select("part", "judge", "models", "mean_accuracy", "per_riddle")
+
+
 def sanity_report(
     answers: DataFrame, judgments: DataFrame, judge: str = ""
 ) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evalweave.functions.answers import comma_list
@@ -28,19 +28,28 @@ def pending_validation(raw: DataFrame, validated: DataFrame, rejected: DataFrame
 
 
 def route_validated(
-    raw: DataFrame, responses: DataFrame, validated: DataFrame, rejected: DataFrame
+    raw: DataFrame,
+    responses: DataFrame,
+    validated: DataFrame,
+    rejected: DataFrame,
+    observations: tuple[Observation, Observation] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(newly validated, newly rejected) rows.
 
     ``responses`` holds ord, text and error of the pending rows. A failed or unreadable
-    reply is recorded nowhere, so its row is pending again next time.
+    reply is recorded nowhere, so its row is pending again next time. ``observations`` receive
+    ``passed`` and ``failed`` when the two tables are stored.
     """
     pending = pending_validation(raw, validated, rejected)
     replies = responses.where(F.col("error").isNull()).select("ord", "text")
     checked = with_validation(pending.join(replies, "ord"))
     passed = validated_record(checked.where("v_overall_valid"))
     failed = rejected_record(checked.where("NOT v_overall_valid"))
-    return with_sequential_id(passed, "val_", row_count(validated)), failed
+    numbered = with_sequential_id(passed, "val_", row_count(validated))
+    if observations is not None:
+        numbered = numbered.observe(observations[0], F.count(F.lit(1)).alias("passed"))
+        failed = failed.observe(observations[1], F.count(F.lit(1)).alias("failed"))
+    return numbered, failed
 
 
 def review_candidates(

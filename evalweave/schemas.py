@@ -19,6 +19,13 @@ SANITY_RESULTS = (
     "mean_accuracy: DOUBLE, models_evaluated: BIGINT, models_correct: ARRAY<STRING>>>"
 )
 
+TYPE_DOCUMENT = (
+    "generated_at STRING, "
+    "types ARRAY<STRUCT<type: STRING, mean_cor: DOUBLE, mean_alt_acc: DOUBLE, n_riddles: BIGINT, "
+    "per_model: MAP<STRING, STRUCT<model: STRING, reasoning_enabled: BOOLEAN, "
+    "reasoning_effort: STRING, cor: DOUBLE, alt_acc: DOUBLE>>>>"
+)
+
 RAW = (
     "id STRING, original_riddle STRING, original_answer STRING, original_reasoning STRING, "
     "altered_riddle STRING, altered_answer STRING, altered_reasoning STRING, "

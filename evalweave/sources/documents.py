@@ -157,6 +157,19 @@ def write_document(df: DataFrame, path: str) -> None:
     df.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_documents(df: DataFrame, folder: str, part: str = "part") -> None:
+    """Write one JSON document per row, each in a file of its own below ``<part>=<value>``."""
+    text = F.to_json(F.struct(*[c for c in df.columns if c != part]), {"ignoreNullFields": "false"})
+    rows = df.select(part, text.alias("value")).repartition(part)
+    rows.write.partitionBy(part).mode("overwrite").text(folder)
+
+
+def scan_type_document(spark: SparkSession, path: str) -> DataFrame:
+    """The types of a stored type document, with ``generated_at`` on every row."""
+    doc = spark.read.schema(struct_of(schemas.TYPE_DOCUMENT)).option("multiLine", True).json(path)
+    return doc.select("generated_at", F.inline("types"))
+
+
 def snapshot(table: DataFrame, folder: str, stamp: str) -> str:
     """Copy a table to ``<folder>/benchmark_<stamp>`` before it is replaced."""
     path = f"{folder.rstrip('/')}/benchmark_{stamp}"

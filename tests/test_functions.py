@@ -148,3 +148,11 @@ def test_required_fields(spark):
         spark, rows, "c STRING", parsing.has_required_fields(F.try_parse_json("c"))
     )
     assert got == [True, False, False]
+
+
+def test_display_rounding_follows_the_exact_value(spark):
+    values = [n / 10000 * 100 for n in range(1, 10000)] + [0.05, 0.25, 1.005, 2.5, 1e6 + 0.25, 123456.75, 8.35, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2):
+        shown = rows.select("v", F.format_string(f"%.{digits}f", text.fixed_digits(F.col("v"), digits)).alias("s"))
+        assert [r for r in shown.collect() if r["s"] != f"{r['v']:.{digits}f}"] == []
