@@ -733,6 +733,24 @@ def c17_model_families(fx: Fixtures):
     return selection.with_family(fx.pool).select("ord", "family")
 
 
+@check(
+    "c17_family_table",
+    """
+WITH t AS (SELECT substr(p_name, 1, 2 + p_size % 5) AS prefix, min(p_partkey) AS o FROM part WHERE p_size % 3 = 0 GROUP BY 1)
+SELECT p_partkey, coalesce(arg_min(prefix, o), p_name) AS family
+FROM part LEFT JOIN t ON starts_with(p_name, prefix) GROUP BY p_partkey, p_name""",
+)
+def c17_family_table(fx: Fixtures):
+    """Families given as a table; here the first letters of parts whose size is a multiple of three."""
+    part = fx.table("part")
+    cut = F.expr("substring(p_name, 1, 2 + p_size % 5)")
+    families = part.where("p_size % 3 = 0").groupBy(cut.alias("prefix")).agg(F.min("p_partkey").alias("ord"))
+    families = families.withColumn("value", F.col("prefix"))
+    return selection.with_family(part.withColumnRenamed("p_name", "source"), families).select(
+        "p_partkey", "family"
+    )
+
+
 @check(
     "d9_family_breakdown",
     with_views("pool") + f"\nSELECT {FAMILY} AS family, count(*) AS n FROM fx_pool GROUP BY 1",

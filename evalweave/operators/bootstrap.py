@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.draws import MASK, MIX_A, MIX_B, chain, group_seed, hash60, joined_keys
 from evalweave.functions.text import round4
+from evalweave.operators.ordering import with_constants
 from evalweave.session import materialise, wide_partitions
 
 REPLICATES = 2000
@@ -24,6 +25,8 @@ SEED = 42
 MIN_CLUSTERS = 5
 _SCALE = 1_000_000_000
 CHUNK = 4096
+TILE = 16
+TILE_ITEMS = 4096
 _RANGE = 1 << 20
 
 
@@ -185,9 +188,20 @@ def bootstrap_bounds(
     the order statistics at int(.025 B) and int(.975 B), counted from zero; they are NULL
     for groups with fewer than five clusters. Writes the cluster sums to the scratch folder.
     """
+    return bounds_of_sums(cluster_sums(scores, by), by, replicates, seed, chunk)
+
+
+def bounds_of_sums(
+    sums: DataFrame,
+    by: Sequence[str],
+    replicates: int = REPLICATES,
+    seed: int = SEED,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """``bootstrap_bounds`` from the sums (by, cluster, s, n) of its clusters."""
     by = list(by)
     keys = [F.col(c).cast("string") for c in by]
-    keyed = cluster_sums(scores, by).withColumn("g", hash60(joined_keys(*keys)))
+    keyed = sums.withColumn("g", hash60(joined_keys(*keys)))
     indexed = materialise(with_cluster_index(keyed, ["g"]), "clusters")
     groups = indexed.groupBy("g", *by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"), F.sum("s").alias("_s")
@@ -282,6 +296,108 @@ def shared_solved(per_riddle: DataFrame, board: DataFrame) -> DataFrame:
     )
 
 
+def in_tiles(
+    per_riddle: DataFrame, board: DataFrame, tile: int = TILE, items: int = TILE_ITEMS
+) -> DataFrame:
+    """Solved items beside every pair of tiles that needs them: (tile_a, tile_b, part) -> rows.
+
+    A tile is ``tile`` consecutive ranks. A row goes to as many pairs of tiles as there are
+    tiles, so items x runs^2 / ``tile`` rows are moved instead of items x runs^2 / 2.
+    Items of a cluster share a part; a cluster of more than ``items`` items is spread over
+    several, and there are enough parts for about ``items`` items of a run in each.
+    """
+    ranked = per_riddle.where("original_solved").join(board.select("run_id", "rank"), "run_id")
+    ranked = ranked.withColumn("_tile", F.floor((F.col("rank") - 1) / F.lit(tile)).cast("int"))
+    sizes = ranked.groupBy("run_id", "cluster").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.groupBy("cluster").agg(F.max("_n").alias("_n")).where(F.col("_n") > items)
+    large = large.select(
+        F.col("cluster").alias("_large"), F.ceil(F.col("_n") / F.lit(items)).alias("_parts")
+    )
+    most = sizes.groupBy("run_id").agg(F.sum("_n").alias("_n")).agg(
+        F.coalesce(F.ceil(F.max("_n") / F.lit(items)), F.lit(1)).alias("_all")
+    )
+    tiles = board.agg(
+        F.floor((F.max("rank") - 1) / F.lit(tile)).cast("int").alias("_last")
+    )
+    spread = with_constants(
+        with_constants(
+            ranked.join(large, F.col("cluster").eqNullSafe(F.col("_large")), "left"), most
+        ),
+        tiles,
+    )
+    salt = F.pmod(hash60(F.col("riddle_id")), F.coalesce("_parts", F.lit(1).cast("long")))
+    part = F.pmod(hash60(F.coalesce("cluster", F.lit(""))) + salt, F.col("_all"))
+    return spread.select(
+        "run_id", "rank", "riddle_id", "cluster", "override_mean", "_tile",
+        part.cast("long").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_other"),
+    ).select(
+        F.least("_tile", "_other").alias("tile_a"),
+        F.greatest("_tile", "_other").alias("tile_b"),
+        "part", "run_id", "rank", "riddle_id", "cluster", "override_mean",
+    )
+
+
+def tiled_pair_sums(
+    per_riddle: DataFrame, board: DataFrame, tile: int = TILE, items: int = TILE_ITEMS
+) -> DataFrame:
+    """(run_a, run_b, cluster) -> s, n: ``cluster_sums`` of ``shared_solved``, tile by tile."""
+    parts = in_tiles(per_riddle, board, tile, items).groupBy("tile_a", "tile_b", "part")
+    sums = parts.applyInPandas(
+        _pair_sums(tile), "run_a STRING, run_b STRING, cluster STRING, s BIGINT, n BIGINT"
+    )
+    return sums.groupBy("run_a", "run_b", "cluster").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n")
+    )
+
+
+def _pair_sums(tile: int):
+    """Cluster sums of the override differences of all pairs of runs of two tiles."""
+
+    def sums(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        columns, _ = pd.factorize(rows["riddle_id"], use_na_sentinel=False)
+        clusters, names = pd.factorize(rows["cluster"], use_na_sentinel=False)
+        runs = rows[["run_id", "rank"]].drop_duplicates().sort_values("rank", kind="stable")
+        line = rows["run_id"].map({r: i for i, r in enumerate(runs["run_id"])}).to_numpy()
+        shape = (len(runs), columns.max() + 1)
+        held, value = np.zeros(shape, bool), np.full(shape, np.nan)
+        cluster = np.zeros(shape, np.int64)
+        held[line, columns] = True
+        value[line, columns] = rows["override_mean"].to_numpy(float)
+        cluster[line, columns] = clusters
+        ranks, ids = runs["rank"].to_numpy(), runs["run_id"].to_numpy()
+        of = (ranks - 1) // tile
+        found = []
+        for a in np.flatnonzero(of == key[0]):
+            others = np.flatnonzero((of == key[1]) & (ranks > ranks[a]))
+            mine = np.flatnonzero(held[a])
+            if not len(others) or not len(mine):
+                continue
+            mine = mine[np.argsort(cluster[a, mine], kind="stable")]
+            present, starts = np.unique(cluster[a, mine], return_index=True)
+            scaled = (value[a, mine] - value[np.ix_(others, mine)]) * _SCALE
+            units = np.copysign(np.floor(np.abs(scaled) + 0.5), scaled)
+            both = held[np.ix_(others, mine)]
+            whole = np.where(both & ~np.isnan(units), units, 0).astype(np.int64)
+            s = np.add.reduceat(whole, starts, axis=1)
+            n = np.add.reduceat(both.astype(np.int64), starts, axis=1)
+            b, c = np.nonzero(n)
+            found.append(
+                pd.DataFrame(
+                    {
+                        "run_a": ids[a], "run_b": ids[others[b]],
+                        "cluster": np.asarray(names, object)[present[c]],
+                        "s": s[b, c], "n": n[b, c],
+                    }
+                )
+            )
+        if not found:
+            return pd.DataFrame(columns=["run_a", "run_b", "cluster", "s", "n"], dtype=object)
+        return pd.concat(found).astype({"run_a": object, "run_b": object, "cluster": object})
+
+    return sums
+
+
 def pair_signs(
     per_riddle: DataFrame,
     board: DataFrame,
@@ -293,8 +409,8 @@ def pair_signs(
     The draw seed of a pair is a function of the two run ids, so results are repeatable.
     Pairs with fewer than five shared clusters are inconclusive.
     """
-    bounds = bootstrap_bounds(
-        shared_solved(per_riddle, board), ["run_a", "run_b"], replicates, seed
+    bounds = bounds_of_sums(
+        tiled_pair_sums(per_riddle, board), ["run_a", "run_b"], replicates, seed
     )
     sign = F.when(F.col("hi") < 0, 1).when(F.col("lo") > 0, -1).otherwise(0)
     return run_pairs(board).join(bounds, ["run_a", "run_b"], "left").select(

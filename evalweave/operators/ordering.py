@@ -90,9 +90,15 @@ def with_sequential_id(
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row DataFrame to every row."""
+    """Attach the columns of a one-row DataFrame to every row.
+
+    No row gives NULLs; more than one is an error, which also bounds what is broadcast.
+    """
     key = "_const"
-    right = one_row.withColumn(key, F.lit(1))
+    row = F.any_value(F.struct(*[F.col(f"`{c}`") for c in one_row.columns]))
+    several = F.raise_error(F.lit("a table of constants has more than one row"))
+    right = one_row.agg(F.when(F.count(F.lit(1)) <= 1, row).otherwise(several).alias("_row"))
+    right = right.select("_row.*").withColumn(key, F.lit(1))
     return (
         df.withColumn(key, F.lit(1)).join(F.broadcast(right), key, "left").drop(key)
     )

@@ -13,21 +13,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.draws import hash60
-from evalweave.functions.text import model_family, text_key
+from evalweave.functions.text import UNKNOWN_FAMILY, model_family, text_key, without_org
 from evalweave.operators.ordering import global_rank, with_constants
+from evalweave.operators.prefixes import first_prefix
 from evalweave.operators.quality import is_used, pending_pool
 from evalweave.operators.resume import representation_counts, with_representation
 from evalweave.session import materialise
 
 
-def with_family(items: DataFrame) -> DataFrame:
-    """Add the model family of ``source``; a missing source is unknown."""
-    return items.withColumn("family", model_family("source"))
+def with_family(items: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """Add the model family of ``source``; a missing source is unknown.
+
+    ``families`` (prefix, value, ord) takes the place of the built-in list of prefixes.
+    """
+    if families is None:
+        return items.withColumn("family", model_family("source"))
+    raw = text_key("source")
+    named = items.withColumn("_name", without_org(raw))
+    family = F.when(raw == "", F.lit(UNKNOWN_FAMILY)).otherwise(F.coalesce("family", "_name"))
+    return first_prefix(named, "_name", families, "family").withColumn("family", family).drop("_name")
 
 
-def family_breakdown(items: DataFrame) -> DataFrame:
+def family_breakdown(items: DataFrame, families: DataFrame | None = None) -> DataFrame:
     return (
-        with_family(items).groupBy("family").agg(F.count(F.lit(1)).alias("n")).orderBy("family")
+        with_family(items, families).groupBy("family").agg(F.count(F.lit(1)).alias("n")).orderBy("family")
     )
 
 

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import grams
+from evalweave.functions.text import MODEL_FAMILIES
 from evalweave.operators import bootstrap, coverage, duplicates, ordering, quality, resume, selection
 from evalweave.operators.components import connected_components
+from evalweave.operators.prefixes import first_prefix
 from evalweave.plans import promotion, runs
 from evalweave.sources import documents, jsonl
 
@@ -312,6 +314,68 @@ def test_pair_signs_and_spread(spark):
     assert alone.first()[:] == ("a", 1, 1)
 
 
+def test_tiles_equal_all_pairs_and_move_fewer_rows(spark):
+    rng = random.Random(5)
+    rows = [
+        (f"r{r:02}", f"q{i}", None if i == 7 else f"c{i // 4 if i < 24 else 99}",
+         None if (r, i) == (3, 2) else rng.randrange(4) / 3, rng.random() < 0.8)
+        for r in range(64) for i in range(40)
+    ]
+    items = spark.createDataFrame(
+        rows, "run_id STRING, riddle_id STRING, cluster STRING, override_mean DOUBLE, original_solved BOOLEAN"
+    ).cache()
+    board = spark.createDataFrame([(f"r{r:02}", 64 - r) for r in range(64)], "run_id STRING, rank INT")
+    pairs = bootstrap.cluster_sums(bootstrap.shared_solved(items, board), ["run_a", "run_b"])
+    wanted = {tuple(r[:3]): (r["s"] or 0, r["n"]) for r in pairs.collect()}
+    for tile, size in [(16, 4096), (5, 6)]:
+        sums = bootstrap.tiled_pair_sums(items, board, tile, size)
+        got = {(r["run_a"], r["run_b"], r["cluster"]): (r["s"], r["n"]) for r in sums.collect()}
+        assert got == wanted
+    solved = items.where("original_solved").count()
+    moved = bootstrap.in_tiles(items, board)
+    assert moved.count() == solved * 64 // bootstrap.TILE
+    assert moved.count() * 4 < bootstrap.shared_solved(items, board).count()
+    largest = bootstrap.in_tiles(items, board, 16, 6).groupBy("tile_a", "tile_b", "part").count()
+    assert largest.where("tile_a = tile_b").select("part").distinct().count() > 1
+    assert bootstrap.tiled_pair_sums(items.limit(0), board).count() == 0
+
+
+def test_first_prefix_is_the_declared_one(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abé", k=rng.randrange(6))) for _ in range(300)]
+    table = sorted({w[: rng.randrange(1, 4)] for w in words[:30]} - {""})
+    rng.shuffle(table)
+    prefixes = spark.createDataFrame(
+        [(p, p.upper(), i) for i, p in enumerate(table)] + [(None, "no", -1)],
+        "prefix STRING, value STRING, ord BIGINT",
+    )
+    items = spark.createDataFrame(
+        [(i, w, "old") for i, w in enumerate(words)] + [(-1, None, "old")], "ord BIGINT, key STRING, hit STRING"
+    )
+    got = {r["ord"]: r["hit"] for r in first_prefix(items, "key", prefixes, "hit").collect()}
+    wanted = {i: next((p.upper() for p in table if w.startswith(p)), None) for i, w in enumerate(words)}
+    assert got == {**wanted, -1: None}
+    assert first_prefix(items, "key", prefixes.limit(0), "hit").where("hit IS NOT NULL").isEmpty()
+
+
+def test_family_table_equals_the_built_in_list(spark):
+    sources = ["openai/GPT-4", " Gemini-b", "qwen", "x/y", "openai/", "", None, "command-r", "gptx/glm-4"]
+    items = spark.createDataFrame([(s,) for s in sources], "source STRING")
+    families = spark.createDataFrame(
+        [(p, f, i) for i, (p, f) in enumerate(MODEL_FAMILIES)], "prefix STRING, value STRING, ord BIGINT"
+    )
+    built_in = {r["source"]: r["family"] for r in selection.with_family(items).collect()}
+    assert {r["source"]: r["family"] for r in selection.with_family(items, families).collect()} == built_in
+
+
+def test_constants_are_one_row(spark):
+    rows, two = spark.range(3), spark.range(2).withColumnRenamed("id", "base")
+    assert ordering.with_constants(rows, two.where("base = 1")).agg(F.sum("base")).first()[0] == 3
+    assert ordering.with_constants(rows, two.where("base > 1")).where("base IS NULL").count() == 3
+    with pytest.raises(Exception, match="more than one row"):
+        ordering.with_constants(rows, two).collect()
+
+
 def test_mixed_reasoning_settings_fail(spark):
     rows = [(0, "r", "m", "p", None, True, "high"), (1, "r", "m", "p", None, False, "high")]
     outputs = spark.createDataFrame(
