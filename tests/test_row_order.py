@@ -88,3 +88,19 @@ def test_failing_rows_do_not_end_a_stream(spark, tmp_path):
     assert all(r["absent"] is None for r in good) and len(good) + len(bad) == 30
     assert {r["error"].split(":")[0] for r in bad} == {"TypeError", "ZeroDivisionError"}
     assert sorted(len(r["t"]) for r in bad) == [k for k in range(30) if k not in kept]
+
+
+def test_ranked_rows_are_spread_over_tasks(spark):
+    """100,000 consecutive rows are not one task's load; wide rows would be more than it holds."""
+    from pyspark.sql import functions as F
+
+    from evalweave.operators.ordering import global_rank
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = global_rank(spark.range(0, 100_000, 1, 4).withColumnRenamed("id", "ord"), "ord", name="n")
+        loads = ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert max(r["count"] for r in loads) < 60_000
+        assert ranked.where("n <> ord + 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
