@@ -209,9 +209,13 @@ def _prefix_pairs(left: DataFrame, common: DataFrame, least: float) -> DataFrame
     return _pairs(joined(a, b.where("not main2")).union(joined(a.where("not main1"), b.where("main2"))), "id1", "id2")
 
 
-def similar_links(sketches: DataFrame, texts: DataFrame, least: float = 0.8) -> DataFrame:
+def similar_links(
+    sketches: DataFrame, texts: DataFrame, least: float = 0.8, given: DataFrame | None = None
+) -> DataFrame:
     """(u, v): links that connect all texts of ``sketches`` (id, size, keys) with a similarity
-    of ``least`` or more; ``texts`` has ``id`` and ``text``."""
+    of ``least`` or more; ``texts`` has ``id`` and ``text``. ``given`` holds candidates (u, v) found
+    by other means; they are compared in the first round.
+    """
     spread = sketches.select("id", "size", F.explode("keys").alias("key"))
     order = F.struct(F.xxhash64("id").alias("h"), "id", "size")
     leaders = (
@@ -221,10 +225,16 @@ def similar_links(sketches: DataFrame, texts: DataFrame, least: float = 0.8) ->
         .select("key", F.col("f.id").alias("leader"), F.col("f.size").alias("leader_size"))
     )
     members = materialise(spread.join(leaders, "key"), "keys")
-    needed = members.select("id").distinct()
+    needed = members.select("id")
+    if given is not None:
+        needed = needed.union(given.select(F.explode(F.array("u", "v"))))
+    needed = needed.distinct()
     sets = materialise(texts.join(needed, "id", "left_semi").select("id", _sets("text").alias("s")), "shingles")
     star = members.where("id <> leader").where(_may("size", "leader_size", least))
-    links = verified(_pairs(star, "id", "leader"), sets, least)
+    near = _pairs(star, "id", "leader")
+    if given is not None:
+        near = near.union(given.select("u", "v")).distinct()
+    links = verified(near, sets, least)
 
     left = _still_open(members, links)
     held = sets.join(left.select("id").distinct(), "id", "left_semi").select("id", F.explode("s").alias("v"))

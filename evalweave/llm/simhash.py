@@ -12,7 +12,7 @@ Defined results: null text counts as empty; texts without words have fingerprint
 are linked like any others; fewer words than a shingle: the whole sequence is one; component
 ids are the smallest document id reached, null ids count only if there is no other; repeated
 rows are linked; an empty table gives no rows. Other columns are ignored, and kept by
-``one_per_group``, which links by exact similarity instead (``jaccard``).
+``one_per_group``, which checks links by exact similarity and adds those beyond the budget (``jaccard``).
 
 Scale: only (doc_id, fingerprint) rows are shuffled. Fingerprints are reduced to distinct
 ones before the join, so copies cost one row. Pairs of nodes with more than ``most`` leaves
@@ -275,23 +275,41 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     )
 
 
-def one_per_group(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _close_prints(held: DataFrame, budget: int) -> DataFrame:
+    """(u, v), u < v: ids of ``held`` (id, fp) that connect all whose fingerprints link.
+
+    Rows of one fingerprint meet its first row; first rows meet by the links of the tries.
+    """
+    firsts = materialise(held.groupBy("fp").agg(F.min("id").alias("u")), "distinct")
+    same = held.join(firsts, "fp").where("id > u").select("u", F.col("id").alias("v"))
+    links = fingerprint_links(firsts.select("fp"), budget).toDF("a", "b")
+    a, b = firsts.toDF("a", "x"), firsts.toDF("b", "y")
+    met = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return materialise(same.union(met).distinct(), "close")
+
+
+def one_per_group(
+    docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "text", budget: int = 3
+) -> DataFrame:
     """``docs`` with one document per group of near copies: the one with the smallest id, nulls last.
 
-    Near copies have a Jaccard similarity of five-word shingles of ``least`` or more
-    (``jaccard``). Fingerprints play no part: at 0.8 they differ in more bits than any budget
-    that still tells other texts apart.
+    Near copies have a Jaccard similarity of five-word shingles of ``least`` or more. Texts whose
+    fingerprints link are candidates, and each is checked by its whole sets of shingles. At
+    0.8 fingerprints differ in more bits than any budget that still tells other texts apart, so
+    the copies beyond it are searched by the same check (``jaccard``).
     """
     row = fresh(docs, "_row")
     stored = numbered_rows(docs, row, "simhash")
     texts = stored.select(quoted(row).alias("id"), quoted(key).alias("k"), quoted(text).alias("text"))
-    held = materialise(texts.select("id", "k", sketch("text").alias("s")).select("id", "k", "s.*"), "sketches")
+    sketched = with_fingerprint(texts.withColumn("s", sketch("text")), "fp")
+    held = materialise(sketched.select("id", "k", "fp", "s.*"), "sketches")
     # Nulls come first in a struct's order, so the flag puts them last.
     order = F.struct(F.col("k").isNull(), F.col("k"), F.col("id"))
     # Equal sequences of words are one text.
     distinct = materialise(held.groupBy("digest").agg(F.min(order).alias("first")), "distinct")
     sketches = held.join(distinct.select(F.col("first.id").alias("id")), "id", "left_semi")
-    links = similar_links(sketches.select("id", "size", "keys"), texts.select("id", "text"), least)
+    close = _close_prints(materialise(sketches.select("id", "fp"), "prints"), budget)
+    links = similar_links(sketches.select("id", "size", "keys"), texts.select("id", "text"), least, close)
     component = connected_components(links)
     named = distinct.join(component, F.col("first.id") == F.col("node"), "left").select(
         "first", F.coalesce("component", "first.id").alias("component")

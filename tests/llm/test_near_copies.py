@@ -104,3 +104,20 @@ def test_a_sample_holds_equal_rows_once(spark):
     light = light_rows(docs).selectExpr("*", "'all' AS label")
     held, _ = sampled_texts(docs, light, "label", 20_000, 1 << 30)
     assert sorted(map(len, held["raw"])) == [0, 5, len(text)]
+
+
+def test_fingerprints_link_copies_by_themselves(spark, monkeypatch):
+    """Without any MinHash key, copies whose fingerprints link are still one group."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(900)]
+    texts = [" ".join(base), edited(base, [400], "x"), edited(base, [850], "y"), " ".join(rng.sample(base, 900))]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3
+    plain = simhash.similar_links
+
+    def keyless(sketches, *rest):
+        from pyspark.sql import functions as F
+
+        return plain(sketches.withColumn("keys", F.array().cast("array<long>")), *rest)
+
+    monkeypatch.setattr(simhash, "similar_links", keyless)
+    assert kept_of(spark, texts) == [0, 3]
