@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from evalweave.functions import answers, parsing, prompts, text
+from evalweave.functions import answers, grams, parsing, prompts, similarity, text
 
 
 def values(spark, rows, schema, column):
@@ -156,3 +156,44 @@ def test_display_rounding_follows_the_exact_value(spark):
     for digits in (1, 2):
         shown = rows.select("v", F.format_string(f"%.{digits}f", text.fixed_digits(F.col("v"), digits)).alias("s"))
         assert [r for r in shown.collect() if r["s"] != f"{r['v']:.{digits}f}"] == []
+
+
+def test_early_ratio_equals_the_standard_library():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    for _ in range(600):
+        letters = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([2, 3, 8, 26])]
+        a = "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 30, 150, 199, 200, 201, 400])))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 15))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 3)] = rng.choice(["", "x", "ab", "q"])
+        b = "".join(b)
+        ratio = SequenceMatcher(None, a, b).ratio()
+        for threshold in (ratio, ratio + 1e-9, ratio - 1e-9, 0.97, 0.8, 0.0):
+            assert similarity.matching_reaches(a, b, threshold) == (ratio >= threshold)
+
+
+def test_histograms_keep_every_similar_pair():
+    """Pairs at the threshold are within the bounds for every gram size, also where counts share cells."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for threshold in (0.97, 0.8):
+        for _ in range(200):
+            a = "".join(rng.choices("abcde ", k=rng.randint(20, 900)))
+            b = list(a)
+            for _ in range(rng.randint(1, max(1, int(len(a) * (1 - threshold))))):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+            b = "".join(b)
+            if not similarity.matching_reaches(a, b, threshold):
+                continue
+            x, y = grams.code_points(a), grams.code_points(b)
+            counts = [(1, np.frombuffer(grams.character_counts(p), "<i4")) for p in (x, y)]
+            for shape in ((3, 64), (4, 2_048), (7, 65_536)):
+                counts += [(shape[0], np.frombuffer(grams.gram_counts(p, shape), np.uint8)) for p in (x, y)]
+            for (q, c), (_, d) in zip(counts[::2], counts[1::2]):
+                apart = np.abs(c.astype(int) - d.astype(int)).sum()
+                assert apart <= grams.most_apart(len(a) + len(b), threshold, q)
