@@ -37,6 +37,9 @@ DEFAULT_EFFORT = "high"
 
 _SPACE = r"[\s\x1c-\x1f]"
 
+# Found in a text that ``strip`` does not empty.
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

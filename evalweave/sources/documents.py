@@ -42,7 +42,7 @@ def scan_runs(spark: SparkSession, folder: str, schema: str = schemas.MODEL_OUTP
     its own path.
     """
     path = folder if folder.rstrip("/").endswith(".jsonl") else f"{folder.rstrip('/')}/*.jsonl"
-    named = numbered_lines(spark, path).withColumn("run_id", stem("jsonl"))
+    named = numbered_lines(spark, path, run_id=stem("jsonl"))
     return typed_rows(
         parsed_lines(named.where(~F.col("run_id").contains(SMOKE_TEST))),
         schema,
@@ -75,9 +75,8 @@ def scan_solver_answers(spark: SparkSession, folder: str) -> DataFrame:
 
     ``solver_ord`` is the position of the file's first line.
     """
-    lines = numbered_lines(spark, f"{folder.rstrip('/')}/*.jsonl")
-    named = parsed_lines(lines).withColumn("stem", stem("jsonl"))
-    rows = typed_rows(named, schemas.SANITY_ANSWERS, keep=("ord", "stem"))
+    lines = numbered_lines(spark, f"{folder.rstrip('/')}/*.jsonl", stem=stem("jsonl"))
+    rows = typed_rows(parsed_lines(lines), schemas.SANITY_ANSWERS, keep=("ord", "stem"))
     labels = rows.groupBy("stem").agg(
         F.coalesce(F.min_by("solver", "ord"), F.first("stem")).alias("solver"),
         F.min("ord").alias("solver_ord"),

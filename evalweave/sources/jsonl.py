@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from evalweave.functions.parsing import json_truthy, strict_json
-from evalweave.functions.text import strip
+from evalweave.functions.parsing import json_truthy, let, strict_json
+from evalweave.functions.text import NOT_SPACE, strip
 from evalweave.sources.textlines import numbered_lines, path_exists
 
 
@@ -17,31 +17,38 @@ def struct_of(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
 
-def _typed(value: Column, field: StructField) -> Column:
-    """One field of a parsed line; a value of another type does not cost the row.
+def _typed(row: Column, field: StructField) -> Column:
+    """One field of a line's ``_raw_fields``; a value of another type does not cost the row.
 
     A flag follows the truth of the JSON value; a NULL or absent one stays NULL.
     """
-    path = f"$.{field.name}"
+    value = row.getField(field.name)
     if isinstance(field.dataType, BooleanType):
-        raw = F.to_json(F.try_variant_get(value, path, "variant"))
-        return F.when(raw.isNotNull() & (raw != "null"), json_truthy(raw))
-    if isinstance(field.dataType, ArrayType) and isinstance(
-        field.dataType.elementType, StringType
-    ):
-        return F.try_variant_get(value, path, "array<string>")
-    return F.try_variant_get(value, path, field.dataType.simpleString())
+        return let(F.to_json(value), lambda r: F.when(r.isNotNull() & (r != "null"), json_truthy(r)))
+    return value
+
+
+def _raw_fields(schema: StructType) -> str:
+    """The type that a line is read as in one go; flags are left as JSON values."""
+    kinds = [(f.name, "variant" if isinstance(f.dataType, BooleanType) else f.dataType.simpleString()) for f in schema]
+    return f"struct<{','.join(f'`{name}`:{kind}' for name, kind in kinds)}>"
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Add ``_json``; blank lines drop out, malformed ones have NULL there."""
-    text = strip("value")
-    return lines.where(text != "").withColumn("_json", strict_json(text))
+    value = F.col("value")
+    # A line from brace to brace has nothing to strip, and looking for it costs as much as parsing.
+    text = F.when(value.startswith("{") & value.endswith("}"), value).otherwise(strip(value))
+    return lines.where(value.rlike(NOT_SPACE)).withColumn("_json", strict_json(text))
 
 
 def typed_rows(parsed: DataFrame, schema: str | StructType, keep: tuple = ("ord",)) -> DataFrame:
-    fields = [_typed(F.col("_json"), f).alias(f.name) for f in struct_of(schema).fields]
-    return parsed.where(F.col("_json").isNotNull()).select(*keep, *fields)
+    schema = struct_of(schema)
+    fields = [_typed(F.col("_row"), f).alias(f.name) for f in schema]
+    # A filter on the parsed value would move below its projection and parse every line twice.
+    read = parsed.select(*keep, F.explode(F.array_compact(F.array("_json"))).alias("_json"))
+    row = F.try_variant_get("_json", "$", _raw_fields(schema)).alias("_row")
+    return read.select(*keep, row).select(*keep, *fields)
 
 
 def scan_jsonl(

@@ -11,13 +11,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, **of_path: Column) -> DataFrame:
     """(value, ord, line_no, path): every line of the files, files in path order.
 
+    ``of_path`` are further columns made from ``path``; they are worked out once per split, not per line.
+
     No sort and no single task is involved. Within a file split the generated row ids rise
     in line order, so a line's number is its id minus the split's first id plus the number
-    of lines in earlier splits, known from one aggregate over (file, split). The lines are
-    not shuffled for it unless that aggregate is too large to broadcast.
+    of lines in earlier splits, known from one aggregate over (file, split). That aggregate has
+    one short row per split and is broadcast, so the lines are not shuffled.
     """
     raw = spark.read.text(path).select(
         "value",
@@ -35,18 +37,23 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     offsets = before_split.join(before_file.select("path", "_before"), "path").select(
         "path", "_start", "_first", "_before", "_inside"
     )
+    # Made by a generator: a filter on a plain projection would move down to every line.
+    for name, made in of_path.items():
+        offsets = offsets.select("*", F.explode(F.array(made)).alias(name))
     line = F.col("_inside") + F.col("_id") - F.col("_first")
-    return raw.join(offsets, ["path", "_start"]).select(
+    return raw.join(F.broadcast(offsets), ["path", "_start"]).select(
         "value",
         (F.col("_before") + line).alias("ord"),
         (line + 1).alias("line_no"),
         "path",
+        *of_path,
     )
 
 
 def stem(extension: str) -> Column:
     """Name of the file, or of the folder that holds the parts, without the extension."""
-    return F.regexp_extract("path", rf"([^/=]+)\.{extension}(?:/[^/]*)?$", 1)
+    # Tried at the start of each part of the path only; otherwise its cost is quadratic in the path.
+    return F.regexp_extract("path", rf"(?<![^/=])([^/=]+)\.{extension}(?:/[^/]*)?$", 1)
 
 
 def _running(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:

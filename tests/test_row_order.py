@@ -5,7 +5,7 @@ import json
 from evalweave import schemas
 from evalweave.operators.ordering import union_in_order
 from evalweave.plans.runs import build_tasks
-from evalweave.sources.documents import scan_run_partitions
+from evalweave.sources.documents import scan_run_partitions, scan_runs
 from evalweave.streaming.incremental import BUCKET, append_handled, append_unseen, stored_keys
 
 
@@ -104,3 +104,21 @@ def test_ranked_rows_are_spread_over_tasks(spark):
         assert ranked.where("n <> ord + 1").count() == 0
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lines_of_runs_are_parsed_once_and_not_shuffled(spark, tmp_path):
+    lines = [json.dumps({"riddle_id": f"alt_{i}", "sample_index": "no" if i == 2 else i}) for i in range(4)]
+    (tmp_path / "run_1.jsonl").write_text("\n".join([*lines, "", " 　", "{broken", " " + lines[1] + "　", "null"]))
+    (tmp_path / "run_1_one_entry_test.jsonl").write_text(lines[0] + "\n")
+    (tmp_path / "run_2.jsonl").mkdir()
+    (tmp_path / "run_2.jsonl" / "part.json").write_text(lines[3])
+    found = scan_runs(spark, str(tmp_path))
+    rows = [(r["ord"], r["run_id"], r["riddle_id"], r["sample_index"]) for r in found.orderBy("ord").collect()]
+    assert rows == [
+        (0, "run_1", "alt_0", 0), (1, "run_1", "alt_1", 1), (2, "run_1", "alt_2", None), (3, "run_1", "alt_3", 3),
+        (7, "run_1", "alt_1", 1), (8, "run_1", None, None), (10, "run_2", "alt_3", 3),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    # The name of the run is worked out beside the splits, not per line.
+    assert plan.count("regexp_extract") == 1 and "strategy=broadcast" in plan
