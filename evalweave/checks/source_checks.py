@@ -162,14 +162,20 @@ def evaluation_of(fx: Fixtures) -> evaluation.Evaluation:
     return evaluation.evaluate_runs(fx.outputs, judged, fx.entries)
 
 
+#: Documents per file. A folder for each would make its listing and the commit the longest step.
+DOCUMENTS = 32
+
+
 def stored_evaluations(fx: Fixtures) -> DataFrame:
-    """The evaluated runs, written as documents of a thousand samples and read again."""
+    """The evaluated runs, written as documents of a thousand samples, some in a file, and read again."""
     folder = scratch_path(fx.spark, "evals")
-    docs = evaluation_of(fx).documents(max_samples=1000).repartition("run_id", "part")
-    named = docs.withColumn(
-        "name", F.concat("run_id", F.lit("_"), F.col("part").cast("string"), F.lit("_eval.json"))
-    )
-    named.write.partitionBy("name").json(folder)
+    docs = evaluation_of(fx).documents(max_samples=1000)
+    place = F.floor(F.col("part") / DOCUMENTS).cast("string")
+    name = F.concat("run_id", F.lit("_"), place, F.lit("_eval.json")).alias("name")
+    body = F.struct("part", F.to_json(F.struct("*")).alias("doc"))
+    files = docs.groupBy(name).agg(F.array_sort(F.collect_list(body)).alias("docs"))
+    value = F.concat(F.lit("["), F.array_join("docs.doc", ","), F.lit("]")).alias("value")
+    files.select("name", value).write.partitionBy("name").text(folder)
     return documents.scan_evaluations(fx.spark, folder)
 
 

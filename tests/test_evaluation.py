@@ -142,3 +142,33 @@ def test_large_aggregates_hash(spark):
     plan = quality.run_metadata(outputs)._jdf.queryExecution().executedPlan().toString()
     # From the scan up to the first shuffle, every aggregate is a hashed one.
     assert "SortAggregate" not in plan.split("Exchange")[-1]
+
+
+def test_stored_documents_share_files(spark, monkeypatch):
+    """Several documents stand in a file, in order; none is lost or merged."""
+    from evalweave.checks import source_checks
+    from evalweave.checks.fixtures import Fixtures
+
+    monkeypatch.setattr(source_checks, "DOCUMENTS", 2)
+    seen = []
+    scan = documents.scan_evaluations
+    monkeypatch.setattr(documents, "scan_evaluations", lambda s, folder: seen.append(folder) or scan(s, folder))
+    ids = spark.range(2000).select(F.col("id").alias("doc_id"))
+    held = {
+        "documents": ids.selectExpr("doc_id", "concat('t', doc_id) AS text", "'en' AS lang", "'web' AS source", "doc_id * 3 AS n_chars"),
+        "events": ids.selectExpr("doc_id AS event_id", "doc_id AS user_id", "'view' AS event_type", "doc_id / 100 AS value"),
+    }
+    monkeypatch.setattr(Fixtures, "table", lambda self, name: held[name])
+    fx = Fixtures(spark, "none")
+    made = source_checks.evaluation_of(fx)
+    monkeypatch.setattr(source_checks, "evaluation_of", lambda fx: made)
+    found = source_checks.stored_evaluations(fx)
+    wanted = made.documents(max_samples=1000)
+    parts = {(r["run_id"], r["part"]) for r in wanted.select("run_id", "part").collect()}
+    got = [(r["run_id"], r["part"], r["part_ord"]) for r in found.select("run_id", "part", "part_ord").collect()]
+    assert len(got) == len(parts) == 18 and {(r, p) for r, p, _ in got} == parts
+    files = spark.read.text(f"{seen[0]}/*_eval.json").count()
+    assert files == 12
+    columns = ["run_id", "riddle_id", "riddle_type", "sample_index", "model_answer", "correct"]
+    again, details = documents.evaluation_details(found).select(*columns), made.details.select(*columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, details.collect()))
