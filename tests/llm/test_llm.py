@@ -456,7 +456,8 @@ def test_held_out_quality(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = con.execute(ORACLES[name])
     columns = sorted(d[0] for d in result.description)
     at = [[d[0] for d in result.description].index(c) for c in columns]
