@@ -197,3 +197,50 @@ def test_histograms_keep_every_similar_pair():
             for (q, c), (_, d) in zip(counts[::2], counts[1::2]):
                 apart = np.abs(c.astype(int) - d.astype(int)).sum()
                 assert apart <= grams.most_apart(len(a) + len(b), threshold, q)
+
+
+def test_gram_bits_differ_like_cut_counts():
+    """Bits of similar pairs stay within the bound, and tell long texts of one vocabulary apart."""
+    import numpy as np
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 6))) for _ in range(60)]
+    for n in (100, 400, 2_000):
+        a, other = (" ".join(rng.choices(words, k=n)) for _ in range(2))
+        b = a[:50] + "q" + a[60:]
+        shape = grams.gram_shape(len(a))
+        for x, y, similar in ((a, b, True), (a, other, False)):
+            if shape is None:
+                continue
+            counts, bits = (
+                [np.frombuffer(f(grams.code_points(t), shape), np.uint8) for t in (x, y)]
+                for f in (grams.gram_counts, grams.gram_bits)
+            )
+            apart = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert apart == np.abs(np.minimum(counts[0], 4).astype(int) - np.minimum(counts[1], 4)).sum()
+            assert len(bits[0]) == 8 * grams.gram_words(shape)
+            if similar:
+                assert apart <= grams.most_apart(len(x) + len(y), 0.97, shape[0])
+
+
+def test_kept_runs_give_the_ratio_of_the_standard_library():
+    """Many pairs of long near copies, in both orders, tested by one holder of their runs."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(10)
+    for letters in ("etaoinshrdlu  zqjx", "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0x4E00, 0x4E90)))):
+        base = "".join(rng.choices(letters, weights=[len(letters) ** 2 // (k + 1) for k in range(len(letters))], k=900))
+        texts = [base]
+        for _ in range(9):
+            b = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 12)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 2)] = rng.choice(["", "z", "ea", "]^-"])
+            texts.append("".join(b))
+        for threshold in (0.97, 0.6):
+            test = similarity.RatioTest(texts, threshold)
+            for x in range(len(texts)):
+                for y in range(len(texts)):
+                    reached = SequenceMatcher(None, texts[x], texts[y]).ratio() >= threshold
+                    assert test.reaches(x, y) == reached
+                    assert test.within(x, y) or not reached

@@ -232,6 +232,19 @@ def test_similar_pairs_connect_like_all_pairs(spark, seed, threshold, budget):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_texts_are_compared_once_where_no_pair_was_left_out(spark, monkeypatch):
+    """Comparing all lengths is the quadratic step; a second pass needs pairs that the first withheld."""
+    passes = []
+    plain = duplicates._candidates
+    monkeypatch.setattr(duplicates, "_candidates", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    base = "the quick brown fox jumps over the lazy dog while seven wizards pack my box with jugs "
+    texts = [base + str(k) for k in range(12)] + ["something else " * 9 + str(k) for k in range(12)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord BIGINT, altered_riddle STRING")
+    edges = duplicates.connecting_pairs(duplicates.distinct_texts(rows), pair_budget=0)
+    linked = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert linked == {k: k // 12 * 12 for k in range(24)} and len(passes) == 1
+
+
 def test_signatures_lose_no_pair():
     """Similar random texts share as many signature elements as promised."""
     import math
