@@ -28,6 +28,8 @@ CHUNK = 4096
 TILE = 16
 TILE_ITEMS = 4096
 _RANGE = 1 << 20
+# Draws made at a time: arrays of this length stay in the cache.
+_BLOCK = 1 << 15
 
 
 def cluster_sums(scores: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,20 +113,41 @@ def replicate_means(
     )
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """``mix32`` over an array of uint64."""
-    mask = np.uint64(MASK)
-    x = x ^ (x >> np.uint64(16))
-    x = (x * np.uint64(MIX_A)) & mask
-    x = x ^ (x >> np.uint64(15))
-    x = (x * np.uint64(MIX_B)) & mask
-    return x ^ (x >> np.uint64(15))
+def _mix(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """``mix32`` over an array of uint32, in place; products wrap at 32 bits by themselves."""
+    spare = np.empty_like(x) if spare is None else spare
+    for shift, factor in ((16, MIX_A), (15, MIX_B)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.right_shift(x, np.uint32(15), out=spare)
+    return np.bitwise_xor(x, spare, out=x)
+
+
+def _picks(start: int, spots: np.ndarray, k: int, spare: np.ndarray) -> np.ndarray:
+    """The draws ``mix32(start ^ spot) % k`` of mixed positions, as uint32.
+
+    The remainder is taken by a quotient, which numpy vectorises for one divisor. Values are below
+    2**32, so a larger ``k`` leaves them as they are.
+    """
+    spare = spare[: len(spots)]
+    picks = _mix(np.bitwise_xor(spots, np.uint32(start)), spare)
+    if k <= MASK:
+        np.floor_divide(picks, np.uint32(k), out=spare)
+        np.multiply(spare, np.uint32(k), out=spare)
+        np.subtract(picks, spare, out=picks)
+    return picks
 
 
 def _chunk_counter(chunk: int):
-    """Rows (g, k, b, base, r) to how often each chunk is drawn at the positions of range r."""
+    """Rows (g, k, b, base, r) to how often each chunk is drawn at the positions of range r.
+
+    Positions are drawn in blocks that stay in the processor's cache, and counted without a sort.
+    """
 
     def count(batches):
+        spare = np.empty(_BLOCK, np.uint32)
+        at, spots = -1, np.empty(0, np.uint32)
         for batch in batches:
             g, c, b, start, n = [], [], [], [], []
             for row in batch.itertuples(index=False):
@@ -132,17 +155,22 @@ def _chunk_counter(chunk: int):
                     chunks, draws = np.zeros(1, np.int64), np.array([row.k])
                     begin = np.array([row.base], np.int64)
                 else:
-                    spots = np.arange(
-                        row.r * _RANGE, min(row.k, (row.r + 1) * _RANGE), dtype=np.uint64
-                    )
-                    picks = _mix(np.uint64(row.base) ^ _mix(spots & np.uint64(MASK)))
-                    chunks, draws = np.unique(
-                        (picks % np.uint64(row.k)).astype(np.int64) // chunk, return_counts=True
-                    )
+                    size = min(row.k - row.r * _RANGE, _RANGE)
+                    if row.r != at or size > len(spots):
+                        first = row.r * _RANGE
+                        spots = np.arange(first, first + size, dtype=np.uint64)
+                        at, spots = row.r, _mix((spots & np.uint64(MASK)).astype(np.uint32))
+                    counts = np.zeros((min(row.k - 1, MASK)) // chunk + 1, np.int64)
+                    for i in range(0, size, _BLOCK):
+                        picks = _picks(row.base, spots[i : min(i + _BLOCK, size)], row.k, spare)
+                        np.floor_divide(picks, np.uint32(chunk), out=picks)
+                        # Counts reach as far as the largest chunk drawn.
+                        found = np.bincount(picks)
+                        counts[: len(found)] += found
+                    chunks = np.flatnonzero(counts)
+                    draws = counts[chunks]
                     # Another stream per chunk, independent of the one that chose it.
-                    begin = np.int64(row.base) ^ _mix(chunks.astype(np.uint64) + np.uint64(1)).astype(
-                        np.int64
-                    )
+                    begin = np.int64(row.base) ^ _mix((chunks + 1).astype(np.uint32)).astype(np.int64)
                 g.append(np.full(len(chunks), row.g))
                 b.append(np.full(len(chunks), row.b))
                 c.append(chunks)
@@ -165,13 +193,18 @@ def _drawn_sums(counts: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"g": [], "b": [], "s": [], "n": []}).astype("int64")
     clusters = clusters.sort_values("idx")
     values, sizes = clusters["s"].to_numpy(np.int64), clusters["n"].to_numpy(np.int64)
-    spots = _mix(np.arange(counts["draws"].max(), dtype=np.uint64))
+    most = counts["draws"].max()
+    spots = _mix((np.arange(most, dtype=np.uint64) & np.uint64(MASK)).astype(np.uint32))
+    spare = np.empty(_BLOCK, np.uint32)
     s = np.empty(len(counts), np.int64)
     n = np.empty(len(counts), np.int64)
-    pairs = zip(counts["start"].to_numpy(np.uint64), counts["draws"].to_numpy(), strict=True)
+    pairs = zip(counts["start"].to_numpy(), counts["draws"].to_numpy(), strict=True)
     for at, (start, draws) in enumerate(pairs):
-        pick = (_mix(start ^ spots[:draws]) % np.uint64(len(values))).astype(np.int64)
-        s[at], n[at] = values[pick].sum(), sizes[pick].sum()
+        times = np.zeros(len(values), np.int64)
+        for i in range(0, draws, _BLOCK):
+            picks = _picks(start, spots[i : min(i + _BLOCK, draws)], len(values), spare)
+            times += np.bincount(picks, minlength=len(values))
+        s[at], n[at] = times @ values, times @ sizes
     return pd.DataFrame({"g": counts["g"], "b": counts["b"], "s": s, "n": n})
 
 
@@ -186,7 +219,8 @@ def bootstrap_bounds(
 
     ``scores`` has the columns of ``by``, ``cluster`` and ``score``. ``lo`` and ``hi`` are
     the order statistics at int(.025 B) and int(.975 B), counted from zero; they are NULL
-    for groups with fewer than five clusters. Writes the cluster sums to the scratch folder.
+    for groups with fewer than five clusters. Writes the cluster sums to the scratch folder, without
+    and with their index.
     """
     return bounds_of_sums(cluster_sums(scores, by), by, replicates, seed, chunk)
 
@@ -202,6 +236,8 @@ def bounds_of_sums(
     by = list(by)
     keys = [F.col(c).cast("string") for c in by]
     keyed = sums.withColumn("g", hash60(joined_keys(*keys)))
+    # The index reads the sums twice, which may come from tiles of runs.
+    keyed = materialise(keyed, "cluster_sums")
     indexed = materialise(with_cluster_index(keyed, ["g"]), "clusters")
     groups = indexed.groupBy("g", *by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"), F.sum("s").alias("_s")

@@ -31,11 +31,14 @@ def covered(details: DataFrame) -> DataFrame:
     )
 
 
-def coverage_report(runs: DataFrame, details: DataFrame, entries: DataFrame) -> DataFrame:
+def coverage_report(
+    runs: DataFrame, details: DataFrame, entries: DataFrame, unique: bool = False
+) -> DataFrame:
     """Expected and missing counts per run.
 
     Counting the expected items that a run has covers the division in one linear join; the
-    product of runs and items is never built.
+    product of runs and items is never built. ``unique`` says that no (run, variant, item)
+    stands in two rows of ``details``, which saves a shuffle of them.
     """
     expected = expected_coverage(entries)
     is_altered = F.col("riddle_type") == "altered"
@@ -44,7 +47,7 @@ def coverage_report(runs: DataFrame, details: DataFrame, entries: DataFrame) ->
         F.count_if(~is_altered).alias("expected_original"),
     )
     have = (
-        covered(details)
+        (details if unique else covered(details))
         .join(expected, ["riddle_type", "riddle_id"])
         .groupBy("run_id")
         .agg(
@@ -62,9 +65,11 @@ def coverage_report(runs: DataFrame, details: DataFrame, entries: DataFrame) ->
     )
 
 
-def complete_runs(runs: DataFrame, details: DataFrame, entries: DataFrame) -> DataFrame:
+def complete_runs(
+    runs: DataFrame, details: DataFrame, entries: DataFrame, unique: bool = False
+) -> DataFrame:
     """Runs that miss nothing; without expectations, all runs."""
-    report = coverage_report(runs, details, entries)
+    report = coverage_report(runs, details, entries, unique)
     keep = report.where("missing_altered = 0 AND missing_original = 0").select("run_id")
     return runs.join(keep, "run_id", "left_semi")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,17 @@ def with_text(tasks: DataFrame, column: str = "riddle_text") -> DataFrame:
     return tasks.where(F.coalesce(column, F.lit("")) != "")
 
 
+def metadata_kinds(outputs: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
+    """The distinct metadata of each run with its first ``ord`` and the totals of ``sums``.
+
+    ``run_metadata`` gives the same for these rows as for the outputs, and so do sums per run, so
+    large outputs are read once for both.
+    """
+    return outputs.groupBy(
+        "run_id", "model", "provider", "quantization", "reasoning_enabled", "reasoning_effort"
+    ).agg(F.min("ord").alias("ord"), *[F.sum(c).alias(c) for c in sums])
+
+
 def run_metadata(outputs: DataFrame) -> DataFrame:
     """One row per run: first model, provider, quantisation; reasoning setting; its conflicts.
 
@@ -82,10 +93,7 @@ def run_metadata(outputs: DataFrame) -> DataFrame:
     named = F.when(F.coalesce("model", F.lit("unknown")) != "", F.col("ord"))
     # Texts are grouping keys here, not aggregates, so the large step hashes; what remains is
     # one row per distinct combination.
-    kinds = outputs.groupBy(
-        "run_id", "model", "provider", "quantization", "reasoning_enabled", "reasoning_effort"
-    ).agg(F.min("ord").alias("ord"))
-    return kinds.groupBy("run_id").agg(
+    return metadata_kinds(outputs).groupBy("run_id").agg(
         F.coalesce(F.min_by("model", named), F.lit("unknown")).alias("model"),
         F.coalesce(F.min_by("provider", named), F.lit("")).alias("provider"),
         F.coalesce(F.min_by("quantization", named), F.lit("")).alias("quantization"),

@@ -13,7 +13,7 @@ from evalweave.functions.text import model_key, report_time
 from evalweave.operators import bootstrap, metrics
 from evalweave.operators.coverage import complete_runs
 from evalweave.operators.ordering import global_rank, last_wins
-from evalweave.operators.quality import checked_run_metadata
+from evalweave.operators.quality import checked_run_metadata, metadata_kinds
 from evalweave.operators.resume import pending_judgments, with_entries, with_judgments
 from evalweave.session import materialise
 from evalweave.sources.documents import evaluation_details
@@ -113,17 +113,24 @@ def evaluate_runs(outputs: DataFrame, judgments: DataFrame, entries: DataFrame)
     """Summary and details of every run.
 
     Every output row is a sample, repeated keys included. Token totals cover all outputs;
-    the other numbers only items that are in ``entries``. Writes the sums per item to the
-    scratch folder.
+    the other numbers only items that are in ``entries``. Writes the sums per item, and the
+    kinds of metadata of each run, to the scratch folder.
     """
     judged = with_judgments(
         with_entries(outputs, entries, ["original_answer"]), judgments
     )
     details = metrics.detail_rows(judged)
-    items = materialise(metrics.item_sums(details), "items")
+    # The sums need no text of an entry, so unknown items leave after the sums, not sample by sample.
+    sums = metrics.item_sums(
+        metrics.detail_rows(
+            with_judgments(outputs, judgments).withColumn("original_answer", F.lit(""))
+        )
+    )
+    items = materialise(with_entries(sums, entries, []).select(*sums.columns), "items")
+    kinds = materialise(metadata_kinds(outputs, ["input_tokens", "output_tokens"]), "run_kinds")
     summary = (
-        checked_run_metadata(outputs)
-        .join(metrics.token_totals(outputs), "run_id")
+        checked_run_metadata(kinds)
+        .join(metrics.token_totals(kinds), "run_id")
         .join(metrics.items_summary(items), "run_id", "left")
     )
     filled = {
@@ -184,7 +191,7 @@ def leaderboard(
     items = evaluation.items
     if complete_only:
         samples = metrics.item_samples(items)
-        summary = materialise(complete_runs(summary, samples, entries), "summary")
+        summary = materialise(complete_runs(summary, samples, entries, unique=True), "summary")
         items = items.join(summary.select("run_id"), "run_id", "left_semi")
     per_riddle = materialise(metrics.items_stats(items, entries, condition_on), "per_riddle")
     board = materialise(ranked(metrics.board_metrics(per_riddle, summary)), "board")

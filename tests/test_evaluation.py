@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions.draws import MASK, MIX_A, MIX_B
-from evalweave.operators import bootstrap, metrics, quality, resume
+from evalweave.operators import bootstrap, coverage, metrics, quality, resume
 from evalweave.plans import evaluation
 from evalweave.sources import documents
 
@@ -172,3 +174,104 @@ def test_stored_documents_share_files(spark, monkeypatch):
     columns = ["run_id", "riddle_id", "riddle_type", "sample_index", "model_answer", "correct"]
     again, details = documents.evaluation_details(found).select(*columns), made.details.select(*columns)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, details.collect()))
+
+
+@pytest.mark.parametrize("size, block", [(1 << 20, 1 << 15), (64, 16), (50, 7)])
+def test_draws_in_blocks(monkeypatch, size, block):
+    """Blocks and ranges give the draws that single steps give, in 32-bit arithmetic."""
+    monkeypatch.setattr(bootstrap, "_RANGE", size)
+    monkeypatch.setattr(bootstrap, "_BLOCK", block)
+    assert bootstrap._mix(np.arange(9, dtype=np.uint32)).dtype == np.uint32
+    k, chunk, base = 203, 10, 0xFEDCBA98
+    rows = [(3, k, 5, base, r) for r in range(-(-k // size))] + [(4, 7, 6, 11, 0)]
+    batch = pd.DataFrame(rows, columns=["g", "k", "b", "base", "r"])
+    got = pd.concat(bootstrap._chunk_counter(chunk)([batch])).groupby(["g", "c", "b", "start"])["n"].sum()
+    wanted = {(4, 0, 6, 11): 7}
+    for i in range(k):
+        c = mix(base ^ mix(i)) % k // chunk
+        key = (3, c, 5, base ^ mix(c + 1))
+        wanted[key] = wanted.get(key, 0) + 1
+    assert got.to_dict() == wanted
+    clusters = pd.DataFrame({"idx": [2, 0, 1], "s": [-5 * 10**17, 3, 10**17], "n": [1, 2, 3]})
+    counts = pd.DataFrame({"g": 3, "b": [0, 1], "start": [base, 7], "draws": [40, 3]})
+    sums = bootstrap._drawn_sums(counts, clusters)
+    table = [(3, 2), (10**17, 3), (-5 * 10**17, 1)]
+    for row, (start, draws) in zip(sums.itertuples(), [(base, 40), (7, 3)], strict=True):
+        drawn = [table[mix(start ^ mix(j)) % 3] for j in range(draws)]
+        assert (row.s, row.n) == tuple(map(sum, zip(*drawn, strict=True)))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_summed_once(spark, monkeypatch):
+    """The index of the clusters reads stored sums; tiles of runs are not worked through twice."""
+    stored, materialise = {}, bootstrap.materialise
+    monkeypatch.setattr(
+        bootstrap, "materialise", lambda df, label: stored.update({label: plan_of(df)}) or materialise(df, label)
+    )
+    rows = [(f"run_{r}", f"i{i}", f"c{i % 6}", True, r / 2) for r in range(2) for i in range(12)]
+    items = spark.createDataFrame(
+        rows, "run_id STRING, riddle_id STRING, cluster STRING, original_solved BOOLEAN, override_mean DOUBLE"
+    )
+    board = spark.createDataFrame([("run_0", 1), ("run_1", 2)], "run_id STRING, rank INT")
+    assert bootstrap.pair_signs(items, board, 40).first()["sign"] == 1
+    assert sum(plan.count("FlatMapGroupsInPandas") for plan in stored.values()) == 1
+    assert "FlatMapGroupsInPandas" not in stored["clusters"]
+
+
+def test_samples_are_read_once(spark, monkeypatch):
+    """Evaluation reads the samples once for each side of the join and once for the runs."""
+    from evalweave.checks import source_checks
+    from evalweave.checks.fixtures import Fixtures
+
+    ids = spark.range(300).select(F.col("id").alias("doc_id"))
+    empty = F.when(F.col("doc_id") % 50 != 7, F.col("doc_id"))
+    held = {
+        "documents": ids.selectExpr("doc_id", "concat('t', doc_id) AS text", "'en' AS lang", "'web' AS source", "doc_id * 3 AS n_chars"),
+        "events": ids.select("doc_id", empty.alias("event_id")).selectExpr(
+            "event_id", "if(doc_id % 40 = 3, NULL, doc_id) AS user_id", "if(doc_id % 9 = 1, 'signup', 'view') AS event_type",
+            "if(doc_id % 60 = 5, NULL, doc_id / 100) AS value"
+        ),
+    }
+    monkeypatch.setattr(Fixtures, "table", lambda self, name: held[name])
+    fx = Fixtures(spark, "none")
+    assert plan_of(fx.judgments).count("Window") == 1
+    # Only samples of events are numbered, and their texts are made afterwards.
+    below = plan_of(fx.outputs).split("Window [", 1)[1].splitlines()[1]
+    assert "Project [" in below and "run_" not in below
+    first = fx.outputs.where("sample_index IS NOT NULL").count()
+    z28 = fx.outputs.where("z <> 28").count() + fx.outputs.where("z % 9 = 4").count()
+    assert first == fx.outputs.count() and fx.judgments.count() == z28
+    stored, materialise = {}, evaluation.materialise
+    monkeypatch.setattr(
+        evaluation, "materialise", lambda df, label: stored.update({label: plan_of(df)}) or materialise(df, label)
+    )
+    made = source_checks.evaluation_of(fx)
+    assert stored["items"].count("Window") == 2
+    # The summary reads stored kinds of runs.
+    assert "Range" not in plan_of(made.summary) and set(stored) == {"items", "run_kinds"}
+    same = metrics.item_sums(made.details)
+    assert made.items.columns == same.columns
+    assert sorted(map(str, made.items.collect())) == sorted(map(str, same.collect()))
+    tokens = {tuple(r) for r in metrics.token_totals(fx.outputs).collect() if r["run_id"]}
+    assert {tuple(r) for r in made.summary.select("run_id", "total_input_tokens", "total_output_tokens").collect()} == tokens
+    meta = [c for c in quality.checked_run_metadata(fx.outputs).columns]
+    wanted = quality.checked_run_metadata(fx.outputs).where("run_id IS NOT NULL").collect()
+    assert sorted(map(str, made.summary.select(*meta).collect())) == sorted(map(str, wanted))
+
+
+def test_coverage_of_unique_rows(spark):
+    entries = spark.createDataFrame(
+        [(0, "a", "o"), (1, "b", "o"), (2, "", "p"), (3, None, "p")], "ord BIGINT, id STRING, original_riddle STRING"
+    )
+    rows = [("r1", "altered", "a"), ("r1", "altered", "b"), ("r1", "original", "a"), ("r1", "altered", ""),
+            ("r2", "altered", "a"), ("r2", "original", "b"), ("r2", "altered", None), (None, "altered", "a")]
+    details = spark.createDataFrame(rows, "run_id STRING, riddle_type STRING, riddle_id STRING")
+    runs = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "run_id STRING")
+    plain, unique = (
+        sorted(map(tuple, coverage.coverage_report(runs, details, entries, u).collect())) for u in (False, True)
+    )
+    assert plain == unique == [("r1", 2, 0, 1, 0), ("r2", 2, 1, 1, 1), ("r3", 2, 2, 1, 1)]
+    assert coverage.complete_runs(runs, details, entries, unique=True).collect() == [("r1",)]
