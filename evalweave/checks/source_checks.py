@@ -166,16 +166,24 @@ def evaluation_of(fx: Fixtures) -> evaluation.Evaluation:
 DOCUMENTS = 32
 
 
+def write_evaluations(docs: DataFrame, folder: str) -> None:
+    """A JSON array of some documents per file, on one line, from a row for each document."""
+    place = F.floor(F.col("part") / DOCUMENTS).cast("string")
+    # Not null, or the write would sort by name alone and lose the order of the parts.
+    name = F.coalesce(F.concat("run_id", F.lit("_"), place, F.lit("_eval.json")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    doc, first = F.to_json(F.struct("*")), F.col("part") % DOCUMENTS == 0
+    line = F.struct("part", F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), doc).alias("value"))
+    end = F.struct(F.lit((1 << 63) - 1).alias("part"), F.lit("]").alias("value"))
+    lines = docs.select(name.alias("name"), F.explode(F.when(first, F.array(line, end)).otherwise(F.array(line))).alias("_l"))
+    lines = lines.select("name", "_l.*").repartition("name").sortWithinPartitions("name", "part")
+    lines.select("name", "value").write.partitionBy("name").option("lineSep", " ").text(folder)
+
+
 def stored_evaluations(fx: Fixtures) -> DataFrame:
     """The evaluated runs, written as documents of a thousand samples, some in a file, and read again."""
     folder = scratch_path(fx.spark, "evals")
     docs = evaluation_of(fx).documents(max_samples=1000)
-    place = F.floor(F.col("part") / DOCUMENTS).cast("string")
-    name = F.concat("run_id", F.lit("_"), place, F.lit("_eval.json")).alias("name")
-    body = F.struct("part", F.to_json(F.struct("*")).alias("doc"))
-    files = docs.groupBy(name).agg(F.array_sort(F.collect_list(body)).alias("docs"))
-    value = F.concat(F.lit("["), F.array_join("docs.doc", ","), F.lit("]")).alias("value")
-    files.select("name", value).write.partitionBy("name").text(folder)
+    write_evaluations(docs, folder)
     return documents.scan_evaluations(fx.spark, folder)
 
 

@@ -59,25 +59,28 @@ class Evaluation:
         the parts together again.
         """
         placed = global_rank(self.details, "ord", by=["run_id"], name="_n", start=0)
-        samples = (
-            placed.withColumn("part", F.floor(F.col("_n") / max_samples))
-            .groupBy("run_id", "part")
-            .agg(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct(
-                            "ord", "riddle_id", "riddle_type", "sample_index", "model_answer",
-                            "correct", "gave_original_answer", "original_answer",
-                        )
-                    )
-                ).alias("_d")
-            )
+        sample = F.struct(
+            "ord", "riddle_id", "riddle_type", "sample_index", "model_answer",
+            "correct", "gave_original_answer", "original_answer",
+        ).alias("_s")
+        samples = placed.where("run_id IS NOT NULL").select(
+            "run_id", F.floor(F.col("_n") / max_samples).alias("part"), sample
         )
-        return self.summary.join(samples, "run_id", "left").select(
-            "run_id", F.coalesce("part", F.lit(0)).alias("part"), "model", "provider",
+        # Every run has a first part, samples or not, so the few summaries can be sent to the
+        # parts. The other way round, one task would hold all parts of a run.
+        first = self.summary.select(
+            "run_id", F.lit(0).cast("long").alias("part"),
+            F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"),
+        )
+        parts = samples.union(first).groupBy(F.col("run_id").alias("_run"), "part").agg(
+            F.array_sort(F.collect_list("_s")).alias("_d")
+        )
+        details = F.transform("_d", lambda d: d.dropFields("ord"))
+        return parts.join(F.broadcast(self.summary), F.col("_run").eqNullSafe(F.col("run_id"))).select(
+            "run_id", "part", "model", "provider",
             "quantization", "reasoning_enabled", "reasoning_effort",
             F.struct(*_SUMMARY).alias("summary"),
-            F.transform("_d", lambda d: d.dropFields("ord")).alias("details"),
+            F.when(F.size("_d") > 0, details).alias("details"),
         )
 
 

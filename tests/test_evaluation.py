@@ -1,6 +1,7 @@
 """Draws by chunk, group keys, stored runs, and plans without sorted aggregates."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -176,6 +177,35 @@ def test_stored_documents_share_files(spark, monkeypatch):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, details.collect()))
 
 
+def test_documents_of_a_run_meet_in_no_join(spark, tmp_path):
+    """Summaries are sent to the parts, and files are written a row per document, in order of the parts."""
+    from evalweave.checks import source_checks
+
+    summary = spark.createDataFrame([("run_0", 1), ("bare", 2), (None, 3)], "run_id string, model int")
+    for c in ["provider", "quantization", "reasoning_enabled", "reasoning_effort", *evaluation._SUMMARY]:
+        summary = summary.withColumn(c, F.lit(0))
+    details = spark.range(130).selectExpr(
+        "id AS ord", "CASE WHEN id < 128 THEN 'run_0' END AS run_id", "concat('alt_', id) AS riddle_id", "'altered' AS riddle_type",
+        "1 AS sample_index", "'a' AS model_answer", "true AS correct", "false AS gave_original_answer", "'o' AS original_answer",
+    )
+    docs = evaluation.Evaluation(summary, details, details).documents(max_samples=3)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {(r["run_id"], r["part"]): r["details"] for r in docs.collect()}
+    assert set(got) == {("run_0", p) for p in range(43)} | {("bare", 0), (None, 0)}
+    assert got["bare", 0] is None and got[None, 0] is None
+    assert [d["riddle_id"] for p in range(43) for d in got["run_0", p]] == [f"alt_{k}" for k in range(128)]
+
+    folder = str(tmp_path / "evals")
+    source_checks.write_evaluations(docs, folder)
+    files = {name: spark.read.text(f"{folder}/name={name}").collect() for name in ("run_0_0_eval.json", "run_0_1_eval.json", "bare_0_eval.json")}
+    parts = {name: [d["part"] for d in json.loads(line["value"])] for name, [line] in files.items()}
+    assert parts == {"run_0_0_eval.json": [*range(32)], "run_0_1_eval.json": [*range(32, 43)], "bare_0_eval.json": [0]}
+    found = documents.scan_evaluations(spark, folder)
+    again = documents.evaluation_details(found).where("run_id = 'run_0'").orderBy("ord").collect()
+    assert [r["riddle_id"] for r in again] == [f"alt_{k}" for k in range(128)]
+
+
 @pytest.mark.parametrize("size, block", [(1 << 20, 1 << 15), (64, 16), (50, 7)])
 def test_draws_in_blocks(monkeypatch, size, block):
     """Blocks and ranges give the draws that single steps give, in 32-bit arithmetic."""
