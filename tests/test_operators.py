@@ -1,5 +1,6 @@
 """Operators against plain re-statements of their rules on small random inputs."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
@@ -245,6 +246,29 @@ def test_texts_are_compared_once_where_no_pair_was_left_out(spark, monkeypatch):
     assert linked == {k: k // 12 * 12 for k in range(24)} and len(passes) == 1
 
 
+def test_a_large_class_of_lengths_is_not_copied(spark):
+    """A class goes once to its own comparison as long as its counts fit; texts without a pair are not moved."""
+    length = 1_500
+    cls = int(math.log(length) / duplicates._class_step(0.97))
+    live = spark.range(40_000).selectExpr(
+        "id AS node", "id AS comp", f"{length} AS len", f"{cls} AS cls", "binary('c') AS chars", "binary('g') AS grams",
+        "CAST(NULL AS BINARY) AS below",
+    )
+    assert duplicates._blocks(live, live, 0.97).count() == 40_000
+
+
+@pytest.mark.parametrize("few", [1 << 20, 1])
+def test_only_texts_with_a_pair_are_moved(spark, monkeypatch, few):
+    monkeypatch.setattr(duplicates, "_FEW", few)
+    base = "the quick brown fox jumps over the lazy dog while seven wizards pack my box with jugs "
+    rows = [(k, k, base + str(k)) for k in range(6)] + [(k, k, f"{k} something else " * 9) for k in range(6, 40)]
+    texts = duplicates._with_class(spark.createDataFrame(rows, "node BIGINT, last BIGINT, text STRING"), 0.97)
+    pairs = spark.createDataFrame([(0, 1), (0, 4), (3, 30)], "u BIGINT, v BIGINT")
+    found = duplicates._verified(pairs, texts, 0.97, every=True)
+    assert ("LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()) == (few > 1)
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 4)]
+
+
 def test_signatures_lose_no_pair():
     """Similar random texts share as many signature elements as promised."""
     import math
