@@ -223,6 +223,45 @@ def test_gram_bits_differ_like_cut_counts():
                 assert apart <= grams.most_apart(len(x) + len(y), 0.97, shape[0])
 
 
+def test_parities_keep_every_similar_pair():
+    """Parities of similar texts stay within the bound, those of other texts of one vocabulary beyond it."""
+    import numpy as np
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randint(3, 9))) for _ in range(900)]
+    for n in (150, 300, 450, 700, 1_200):
+        a, other = (" ".join(rng.choices(words, k=n)) for _ in range(2))
+        shape = grams.parity_shape(len(a))
+        assert grams.parity_bytes(shape) * 2 <= 8 * grams.gram_words(grams.gram_shape(len(a)))
+        x = np.frombuffer(grams.parity_bits(grams.code_points(a), shape), np.uint8)
+        assert len(x) == grams.parity_bytes(shape)
+        for edits in (1, len(a) // 50, len(a) // 34):
+            b = list(a)
+            for at in rng.sample(range(len(b)), edits):
+                b[at] = rng.choice(["", "z", "q" + b[at]])
+            b = "".join(b)
+            y = np.frombuffer(grams.parity_bits(grams.code_points(b), shape), np.uint8)
+            apart = int(np.bitwise_count(x ^ y).sum())
+            if similarity.matching_reaches(a, b, 0.97):
+                assert apart <= grams.most_apart(len(a) + len(b), 0.97, shape[0])
+        z = np.frombuffer(grams.parity_bits(grams.code_points(other), shape), np.uint8)
+        assert int(np.bitwise_count(x ^ z).sum()) > grams.most_apart(len(a) + len(other), 0.97, shape[0])
+    assert grams.parity_shape(700) is None and grams.parity_bits(grams.code_points("ab"), None) is None
+
+
+def test_kept_runs_hold_one_first_text():
+    """What is kept of the first text of a pair goes with the next one; results do not depend on the order."""
+    rng = random.Random(13)
+    base = "".join(rng.choices("etaoinshrdlu zqjx", k=700))
+    texts = [base[:k] + "qz" * rng.randint(0, 3) + base[k + 2 :] for k in range(0, 600, 60)]
+    test = similarity.RatioTest(texts, 0.97)
+    pairs = [(x, y) for x in range(10) for y in range(10)]
+    got = {p: test.reaches(*p) for p in pairs}
+    assert test._first[0] == 9 and all(runs._text == texts[9] for runs in test._first[1].values())
+    rng.shuffle(pairs)
+    assert got == {p: test.reaches(*p) for p in pairs}
+
+
 def test_kept_runs_give_the_ratio_of_the_standard_library():
     """Many pairs of long near copies, in both orders, tested by one holder of their runs."""
     from difflib import SequenceMatcher
